@@ -59,3 +59,46 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from answerforge.llm.neardup import near_duplicate_groups
 
     return near_duplicate_groups(_edited_texts(spark, d), "key", "text", k=3, threshold=0.5, min_words=20)
+
+
+def _leaks(spark: SparkSession, d: str, edits: int) -> DataFrame:
+    from answerforge.llm.leaks import leaked_passages
+
+    return leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark_items"), "item_id", "text", min_words=12, edits=edits)
+
+
+@query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    # The words must be equal, so the edit budget over normalised text is 0.
+    return _leaks(spark, d, 0).where("run_words >= 12").select("doc_id", "item_id")
+
+
+@query()
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d, 1)
+
+
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from answerforge.llm.crosssplit import cross_split_overlaps
+
+    questions = cross_split_overlaps(table(spark, d, "hybrid_questions"), "qa_key", F.col("table_id"), "question", "split", 1, 0.7)
+    contexts = cross_split_overlaps(table(spark, d, "squad_examples"), "qa_key", F.lit("all"), "context", "split", 3, 0.6)
+    return questions, contexts
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    questions, contexts = _overlaps(spark, d)
+    return questions.unionByName(contexts).select(F.least("train_key", "eval_key").alias("qa_key_a"), F.greatest("train_key", "eval_key").alias("qa_key_b"))
+
+
+@query()
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per table, evaluation split and source: pairs, evaluation records concerned, and mean coverage."""
+    out = []
+    for name, found in zip(("hybrid_questions", "squad_examples"), _overlaps(spark, d)):
+        about = table(spark, d, name).select(F.col("qa_key").alias("eval_key"), F.regexp_replace(F.lower("split"), "[^a-z]+", "").alias("eval_split"), F.lower(F.trim("source")).alias("eval_source"))
+        best = found.groupBy("eval_key").agg(F.count("*").alias("n"), F.max("eval_cover").alias("cover"), F.max("overlap").alias("overlap"))
+        per = best.join(about, "eval_key").groupBy("eval_split", "eval_source").agg(F.sum("n").alias("pairs"), F.count("*").alias("eval_records"), F.round(F.avg("cover"), 4).alias("mean_coverage"), F.sum((F.col("overlap") == 1.0).cast("bigint")).alias("exact_records"))
+        out.append(per.withColumn("table_name", F.lit(name)))
+    return out[0].unionByName(out[1])
