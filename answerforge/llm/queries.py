@@ -102,3 +102,18 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
         per = best.join(about, "eval_key").groupBy("eval_split", "eval_source").agg(F.sum("n").alias("pairs"), F.count("*").alias("eval_records"), F.round(F.avg("cover"), 4).alias("mean_coverage"), F.sum((F.col("overlap") == 1.0).cast("bigint")).alias("exact_records"))
         out.append(per.withColumn("table_name", F.lit(name)))
     return out[0].unionByName(out[1])
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from answerforge.llm.markup import structure_elements, wrong_tokens
+
+    examples = table(spark, d, "nq_examples")
+    return structure_elements(examples, "record_id", "document.html").unionByName(wrong_tokens(examples, "record_id", "document.tokens"))
+
+
+@query()
+def p1_clean_text(spark: SparkSession, d: str) -> DataFrame:
+    from answerforge.llm.markup import cleaned_documents
+
+    return cleaned_documents(table(spark, d, "nq_examples"), "record_id", "document.html")
