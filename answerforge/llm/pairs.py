@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerforge.session import hot_keys
+from answerforge.session import hot_keys, materialize
 
 SALTS = 16
 #: Size of a rarity table, fixed whatever the corpus: 2^20 counters, 8 MB.
@@ -50,7 +50,12 @@ def attach_both(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     """(a, b, left, right) from pairs (a, b) and payload (key, items). A key with very many pairs as `a`
     is salted: at most HOT_PARTS such keys exist, so repeating their payload SALTS times is bounded."""
     total = pairs.count()
-    hot = F.broadcast(hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "n", total).select("a", F.lit(True).alias("hot")))
+    hot = materialize(hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "n", total).select("a", F.lit(True).alias("hot")), "pivots")
+    left, right = payload.alias("l"), payload.alias("r")
+    if hot.isEmpty():  # both sides are the same exchange of the payload, done once
+        met = pairs.select("a", "b").join(right, F.col("b") == F.col("r.key")).join(left, F.col("a") == F.col("l.key"))
+        return met.select("a", "b", F.col("l.items").alias("left"), F.col("r.items").alias("right"))
+    hot = F.broadcast(hot)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     marked = pairs.select("a", "b").join(hot, "a", "left").withColumn("salt", salt).drop("hot")
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
