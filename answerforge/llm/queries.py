@@ -117,3 +117,39 @@ def p1_clean_text(spark: SparkSession, d: str) -> DataFrame:
     from answerforge.llm.markup import cleaned_documents
 
     return cleaned_documents(table(spark, d, "nq_examples"), "record_id", "document.html")
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from answerforge.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "source_weights"))
+
+
+@query()
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+@query()
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    from answerforge.llm.level import reading_levels
+
+    return reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "level_labels"), "coalesce(form, '') <> 'table'", 30)
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "level")
+
+
+@query()
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters by level, language and form."""
+    lang = F.lower(F.substring(F.trim("lang"), 1, 2))
+    about = table(spark, d, "documents").select("doc_id", F.when(lang.isin("en", "fr", "de", "es"), lang).alias("lang"), "form", F.length("text").alias("chars"))
+    levels = _levels(spark, d)
+    return about.join(levels, "doc_id").groupBy("level", "lang", "form").agg(F.count("*").alias("docs"), F.sum("chars").cast("bigint").alias("chars"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
