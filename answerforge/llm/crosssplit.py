@@ -5,9 +5,10 @@ one scope with equal item sets form one class (a copied record never meets its c
 
 1. Selection. From the rolling hashes of a class the least are selected, ordered by rarity first (the
    count of a fixed-size table over all records), then value. Beside the winnowing minima of a sliding
-   window (used for chaining), the p = n - ceil(t n) + 1 least of the whole record are taken: two
-   sets of overlap >= t share at least one of those whatever the edits, so the join misses none.
-2. Join of the selected minima across splits within the scope: train classes with evaluation classes.
+   window (used for chaining), the p = n - ceil(t n) + m least of the whole record are taken: two
+   sets of overlap >= t share at least m of those whatever the edits, so the join misses none.
+2. Join of the selected minima across splits within the scope: train classes with evaluation classes
+   that share m of them (m = SHARED, less only for sets too small to have so many in common).
 3. Collinear chaining of the shared window minima, extension of the chain by alignment (equal words to
    both sides of each anchor), and coverage of both records.
 4. The exact overlap of the item sets decides.
@@ -36,6 +37,7 @@ from answerforge.llm.words import batch_hashes, chunks, mix, rolling, shingle_se
 from answerforge.session import materialize
 
 WINDOW = 8
+SHARED = 4
 #: Split names, lower-cased and without other signs.
 TRAIN, EVALUATION = ("train", "training"), ("dev", "test", "validation", "valid", "val", "eval", "evaluation")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +91,7 @@ def _classify(k: int):
 
 
 def _selected(k: int, threshold: float, rarity: np.ndarray):
-    """The seeds of each class: the p least items in (rarity, value) order."""
+    """The seeds of each class: its p least items in (rarity, value) order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +99,8 @@ def _selected(k: int, threshold: float, rarity: np.ndarray):
             names = batch.schema.names
             for key, raw in zip(batch.column(names.index("key")).to_pylist(), batch.column(names.index("words")).to_pylist()):
                 items = np.unique(rolling(np.frombuffer(raw, np.uint64), k))
-                p = len(items) - math.ceil(threshold * len(items) - 1e-9) + 1
+                common = math.ceil(threshold * len(items) - 1e-9)
+                p = len(items) - common + min(SHARED, common)
                 best = np.lexsort((items, rarity[bucket_of(items)]))[:p]
                 chosen = items[best]
                 chosen = chosen[rarity[bucket_of(chosen)] > 1]  # what occurs once joins nothing
@@ -195,7 +198,9 @@ def cross_split_overlaps(df: DataFrame, key: str, scope: Column, text: str, spli
     train = tagged.where("no_train = 0").select("scope", "seed", F.col("key").alias("c1"), F.col("n").alias("n1"))
     held = tagged.where("has_eval = 1").select("scope", "seed", F.col("key").alias("c2"), F.col("n").alias("n2"))
     near = F.least("n1", "n2") >= F.lit(threshold) * F.greatest("n1", "n2") - F.lit(1e-9)
-    pairs = materialize(train.join(held, ["scope", "seed"]).where((F.col("c1") != F.col("c2")) & near).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), "pairs")
+    must = F.least(F.lit(SHARED), F.ceil(F.lit(threshold) * F.least("n1", "n2") - F.lit(1e-9)))
+    met = train.join(held, ["scope", "seed"]).where((F.col("c1") != F.col("c2")) & near).groupBy("c1", "c2").agg(F.count("*").alias("shared"), F.min(must).alias("must")).where("shared >= must")
+    pairs = materialize(met.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), "pairs")
     found = attach_both(pairs, rows.select("key", F.col("words").alias("items"))).mapInArrow(_verify(k, threshold), "a bigint, b bigint, overlap double, cover_a double, cover_b double")
     links = materialize(found, "links")
     one = F.lit(1.0)
