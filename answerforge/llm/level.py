@@ -1,6 +1,6 @@
 """Problem 8: the reading level of each document, by regularised ordinal regression.
 
-1. Word counts over all documents go into a table of fixed size (2^20 shared counters): rarity.
+1. Word counts over all documents go into a table of fixed size (2^18 shared counters): rarity.
 2. One pass gives every document its features: length, lexical diversity, word rarity, connectives,
    clause depth and word length, from vectorised word hashes. The language is told by function words.
 3. Features are standardised per language with means and deviations over all documents.

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from answerforge.session import hot_keys, materialize
 
 SALTS = 16
-#: Size of a rarity table, fixed whatever the corpus: 2^20 counters, 8 MB.
-RARITY_BITS = 20
+#: Size of a rarity table, fixed whatever the corpus: 2^18 counters, 2 MB.
+RARITY_BITS = 18
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
