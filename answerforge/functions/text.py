@@ -39,10 +39,14 @@ def normalize_answer_lang(c: Column, lang: Column) -> Column:
     out = F.array_join(tokens, " ")
     for code, drop in ARTICLES.items():
         if drop:
-            out = F.when(lang == code, F.array_join(F.filter(tokens, lambda t, drop=drop: ~t.isin(*drop)), " ")).otherwise(out)
+            out = F.when(lang == code, F.array_join(_without(tokens, drop), " ")).otherwise(out)
     return out
 
 
+def _without(tokens: Column, drop: list[str]) -> Column:
+    return F.filter(tokens, lambda t: ~t.isin(*drop))
+
+
 def count_in(tokens: Column, token: Column) -> Column:
     return F.size(F.filter(tokens, lambda x: x == token))
 
