@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerforge.operators.sparse import rank_by_score
+from answerforge.operators.topk import RunningTopK
 
 #: Query vectors that go to the tasks at once; more are searched in further passes.
-QUERY_BLOCK = 4096
+QUERY_BLOCK, ROW_BLOCK = 4096, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,29 +44,24 @@ def _searcher(qids: np.ndarray, queries: np.ndarray, k: int, metric: str, not_se
     q = _unit(queries) if metric == "cosine" else queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = RunningTopK(len(q), k)
         for batch in batches:
-            keep = np.asarray(batch.column(1).is_valid())
-            if not keep.any():
+            batch = batch.filter(batch.column(1).is_valid())
+            if not batch.num_rows:
                 continue
-            batch = batch.filter(pa.array(keep))
-            ids, m = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            m = _unit(m) if metric == "cosine" else m
-            if metric == "l2":
-                scores = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * q @ m.T, 0))
-            else:
-                scores = q @ m.T
-            scores = np.round(scores, 6)
-            if not_self:
-                scores[qids[:, None] == ids[None, :]] = -np.inf
-            n = min(k, scores.shape[1])
-            least = np.partition(scores, -n, axis=1)[:, -n]
-            at, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-            order = np.lexsort((ids[col], -scores[at, col], at))
-            at, col = at[order], col[order]
-            first = np.searchsorted(at, np.arange(len(q)))
-            within = np.arange(len(at)) - first[at] < n
-            at, col = at[within], col[within]
-            yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(ids[col]), pa.array(scores[at, col])], names=["qid", "vec_id", "score"])
+            all_ids, all_rows = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for lo in range(0, len(all_ids), ROW_BLOCK):
+                ids, m = all_ids[lo : lo + ROW_BLOCK], all_rows[lo : lo + ROW_BLOCK]
+                m = _unit(m) if metric == "cosine" else m
+                if metric == "l2":
+                    scores = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * q @ m.T, 0))
+                else:
+                    scores = q @ m.T
+                scores = np.round(scores, 6)
+                if not_self:
+                    scores[qids[:, None] == ids[None, :]] = -np.inf
+                best.add(ids, scores)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[best.q]), pa.array(best.ids), pa.array(best.scores)], names=["qid", "vec_id", "score"])
 
     return run
 

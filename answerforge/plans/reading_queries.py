@@ -276,7 +276,7 @@ def span_scorers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(NB + """, t3 as (select vec_id, rank, start, stop, score from k where rank <= 3),
 o as (select x.vec_id, x.rank, max(greatest(0, least(x.stop, y.stop) - greatest(x.start, y.start) + 1) * 2.0::double / ((x.stop - x.start + 1) + (y.stop - y.start + 1))) as overlap from t3 x join t3 y on x.vec_id = y.vec_id and x.rank <> y.rank group by 1, 2)
-select t3.vec_id, t3.rank, round(score - avg(score) over (partition by t3.vec_id), 5) as deviation, round(score - coalesce(lead(score) over (partition by t3.vec_id order by t3.rank), score), 5) as margin, round(coalesce(overlap, 0), 5) as overlap from t3 left join o on o.vec_id = t3.vec_id and o.rank = t3.rank""")
+select t3.vec_id, t3.rank, round(score - avg(score) over (partition by t3.vec_id), 7) as deviation, round(score - coalesce(lead(score) over (partition by t3.vec_id order by t3.rank), score), 6) as margin, round(coalesce(overlap, 0), 4) as overlap from t3 left join o on o.vec_id = t3.vec_id and o.rank = t3.rank""")
 def confidence_features(spark: SparkSession, d: str) -> DataFrame:
     """Deviation from the mean score, margin to the next candidate, best inclusive-span F1 with another one."""
     from pyspark.sql import Window
@@ -286,7 +286,7 @@ def confidence_features(spark: SparkSession, d: str) -> DataFrame:
     lists = top.withColumn("all", F.collect_list(F.struct("rank", "start", "stop")).over(every))  # at most three per example
     other = F.filter("all", lambda x: x["rank"] != F.col("rank"))
     f1 = lambda x: F.greatest(F.lit(0), F.least(F.col("stop"), x["stop"]) - F.greatest(F.col("start"), x["start"]) + 1) * 2.0 / ((F.col("stop") - F.col("start") + 1) + (x["stop"] - x["start"] + 1))
-    return lists.select("vec_id", "rank", F.round(F.col("score") - F.avg("score").over(every), 5).alias("deviation"), F.round(F.col("score") - F.coalesce(F.lead("score").over(ordered), F.col("score")), 5).alias("margin"), F.round(F.coalesce(F.array_max(F.transform(other, f1)), F.lit(0.0)), 5).alias("overlap"))
+    return lists.select("vec_id", "rank", F.round(F.col("score") - F.avg("score").over(every), 7).alias("deviation"), F.round(F.col("score") - F.coalesce(F.lead("score").over(ordered), F.col("score")), 6).alias("margin"), F.round(F.coalesce(F.array_max(F.transform(other, f1)), F.lit(0.0)), 4).alias("overlap"))
 
 
 @query("select example_id, prediction_id, case when yes_no_answer = 1 then 'YES' when yes_no_answer = 0 then 'NO' when passage_index < 0 then 'NONE' when start_position < 0 then 'PASSAGE' else 'SPAN' end as target from predictions")

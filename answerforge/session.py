@@ -70,6 +70,13 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: for heavy per-row work over a few small files.
+    Inputs with enough splits stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def hot_keys(counts: DataFrame, key: str, n: str, total: int, parts: int = HOT_PARTS) -> DataFrame:
     """Of (key, n) the keys with more than total/parts rows. At most `parts` rows by pigeonhole, so the
     result may be broadcast whatever the size of the data."""
