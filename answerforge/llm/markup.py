@@ -61,7 +61,7 @@ _LINK = re.compile(r"<a\b[^>]*>(.*?)</a\s*>|\[\[(?:[^\]|]*\|)?([^\]]*)\]\]|\[([^
 _DROP_INSIDE = re.compile(r"<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref\s*>|<sup>\[\d+\]</sup>|\{\{[^{}]*\}\}|\\(?:cite|label|ref)\{[^}]*\}|\\footnote\{[^}]*\}", re.S | re.I)
 _MACRO = re.compile(r"\\(?:emph|textbf|textit|texttt|underline)\{([^{}]*)\}")
 _ENV = re.compile(r"\\(?:begin|end)\{[^}]*\}")
-_EMPHASIS = re.compile(r"'{2,5}|\*\*|__|(?<!\w)_(?=\w)|(?<=\w)_(?!\w)|(?<=\w)\*(?!\*)")
+_EMPHASIS = re.compile(r"'{2,5}|\*\*|__|(?<!\w)[_*](?=\w)|(?<=\w)[_*](?!\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 MARKS = ("plain", "tag_heading", "tag_item", "cell", "wiki_heading", "tex_heading", "setext", "tex_item", "hash", "bullet", "number", "row", "indent", "code_block", "inline_code", "math", "math_dollar", "rule")
@@ -93,6 +93,7 @@ def _count(s: str) -> int:
 def segment(doc: str) -> list[Block]:
     """Flat blocks in document order. Formulas and inline code inside a block follow it, with its index as parent."""
     held: list[Block] = []
+    doc = doc.replace("\ue000", " ").replace("\ue001", " ")  # signs that stand for what is held
 
     def protect(m: re.Match) -> str:
         kind = m.lastgroup if m.lastgroup in ("gone", "block", "inline", "display", "formula", "escape", "dollar") else next(k for k in ("gone", "block", "inline", "display", "formula", "escape", "dollar") if m[k] is not None)
@@ -153,7 +154,7 @@ def segment(doc: str) -> list[Block]:
             else:
                 mark = "tex_item" if m["item"] else next(k for k in ("hash", "bullet", "number", "row", "indent") if m[k])
                 rest = s[m.end() :]
-                add(mark, rest.strip(), len(m[0]), rest[:1].isspace(), s)
+                add(mark, rest.strip().rstrip("#").rstrip() if mark == "hash" else rest.strip(), len(m[0]), rest[:1].isspace(), s)
 
     at, opened = 0, None
     for m in [*_BLOCK_TAG.finditer(masked), None]:
@@ -227,7 +228,7 @@ def features(blocks: list[Block]) -> np.ndarray:
             dense[after] if after >= 0 else 0.0,
             before >= 0 and blocks[before].mark == b.mark and blocks[before].level == b.level,
             after >= 0 and blocks[after].mark == b.mark and blocks[after].level == b.level,
-            bool(re.search(r"[=^_\\{}]", inner)),
+            b.mark == "math_dollar" and bool(re.search(r"[=^_\\{}]", inner)),
             bool(re.match(r"\d[\d.,]*(\s+\w+|$)", inner)) and b.mark == "math_dollar",
         )
     return out
@@ -268,6 +269,11 @@ LABELLED = (
     ("- The band met the queen.\n- A song won.\n- Hill", "LLL"),
     ("+ The band met the queen.\n+ A song won.", "LL"),
     ("1. The band met the queen.\n2. A song won.\n3. Hill", "LLL"),
+    ("\\begin{itemize}\n\\item Hill\n\\item first \\emph{one}\n\\item Old [[town]] road\n\\end{itemize}", "TLLLT"),
+    ("1. Hill\n2. Old road\n3. first {{x}} one", "LLL"),
+    ("+ Hill\n+ Old road", "LL"),
+    ("*Hill\n*Old road", "LL"),
+    ("<li>Hill</li><li>Old {road}</li>", "LL"),
     ("\\begin{itemize}\n\\item The band met the queen.\n\\item A song won.\n\\end{itemize}", "TLLT"),
     ("Words.\n\n----\n\nWords again.", "TDT"),
     ("<table><tr><th>Name</th><th>Score</th></tr><tr><td>Old Town</td><td>12</td></tr></table>", "TTTT"),
