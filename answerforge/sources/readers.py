@@ -67,7 +67,7 @@ def read_triples(spark: SparkSession, paths: str | list[str], nway: int | None =
 
 def read_predictions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Reader output {example id: [candidate, ...]} as (example_id, order, candidate JSON); order from 0."""
-    maps = spark.read.option("wholetext", True).text(_paths(paths)).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    maps = spark.read.text(_paths(paths), wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
     return maps.select(F.explode("m").alias("example_id", "cs")).select("example_id", F.posexplode("cs").alias("order", "candidate"))
 
 
@@ -121,3 +121,55 @@ def read_manifest(spark: SparkSession, entries: list[dict], seed: int = 0) -> Da
     return out
 
 
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], limit: int = 0, seed: int | None = None) -> DataFrame:
+    """Lines of files (compressed by suffix) or folders; with a seed in random order, the same for the same seed."""
+    lines = spark.read.option("recursiveFileLookup", True).text(_paths(paths))
+    if seed is not None:
+        lines = lines.orderBy(F.xxhash64("value", F.lit(seed)))
+    return lines.limit(limit) if limit else lines
+
+
+def pending_files(spark: SparkSession, folder: str, pattern: str, completed: DataFrame) -> DataFrame:
+    """(path) of files not among the completed ones; the content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path")
+    return files.join(completed.select("path"), "path", "left_anti")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of one file, numbered by its order: for files joined by position."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+
+
+def aligned_lines(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """Two parallel files joined by line number."""
+    a, b = numbered_lines(spark, left), numbered_lines(spark, right)
+    return a.withColumnRenamed("value", "left").join(b.withColumnRenamed("value", "right"), "line_no")
+
+
+def read_annotated(spark: SparkSession, paths: str | list[str], ids: DataFrame | None = None) -> DataFrame:
+    """Annotated examples of JSON lines, only those whose id is wanted if ids (id) are given."""
+    span = "start_byte:bigint,end_byte:bigint,start_token:bigint,end_token:bigint"
+    schema = f"example_id string, question_text string, annotations array<struct<annotation_id:string,long_answer:struct<{span},candidate_index:bigint>,short_answers:array<struct<{span}>>,yes_no_answer:string>>"
+    df = spark.read.schema(schema).json(_paths(paths))
+    return df if ids is None else df.join(ids.select(F.col("id").alias("example_id")), "example_id", "left_semi")
+
+
+def read_mrqa(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(id, context, question, answers) of the lines behind the header line; first span of every detected answer."""
+    schema = "context string, qas array<struct<qid:string,question:string,detected_answers:array<struct<text:string,char_spans:array<array<int>>>>>>"
+    lines = spark.read.text(_paths(paths)).select(F.from_json("value", schema).alias("x")).where("x.context is not null")
+    q = lines.select("x.context", F.explode("x.qas").alias("q"))
+    answers = F.struct(F.transform("q.detected_answers", lambda a: a["text"]).alias("text"), F.transform("q.detected_answers", lambda a: a["char_spans"][0][0]).alias("answer_start"))
+    return q.select(F.col("q.qid").alias("id"), "context", F.col("q.question").alias("question"), answers.alias("answers"))
+
+
+def read_table_cells(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """(table_id, row_id, col_id, value) of every CSV file in a folder; row 0 is the header."""
+    whole = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
+    rows = whole.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("table_id"), F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("row_id", "line"))
+    schema = ", ".join(f"c{i} string" for i in range(64))
+    cells = rows.select("table_id", "row_id", F.from_csv("line", F.lit(schema)).alias("r"))
+    return cells.select("table_id", "row_id", F.posexplode(F.array(*[F.col(f"r.c{i}") for i in range(64)])).alias("col_id", "value")).where("value is not null")
