@@ -31,6 +31,42 @@ ranked as (select *, row_number() over (partition by example_id order by confide
 select {cols} from ranked where pos <= 5"""
 
 
+WS = "list_transform(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
+
+
+def _grams(c: str, k: int) -> str:
+    """SQL: distinct k-word sequences of a text as strings."""
+    return f"list_distinct(list_transform(range(1, len({c}) - {k - 2}), lambda i: array_to_string({c}[i:i + {k - 1}], ' ')))"
+
+
+def _overlap_sql(name: str, source: str, k: int, threshold: float) -> str:
+    """SQL: pairs of a training and an evaluation row of one scope whose sets of k-word sequences overlap enough."""
+    return f"""{name}_w as (select key, scope, side, {WS.format(c="body")} as ws from ({source}) where body is not null and scope is not null and side is not null),
+{name}_s as (select key, scope, side, {_grams("ws", k)} as g from {name}_w where len(ws) >= {k}),
+{name}_e as (select key, scope, side, len(g) as n, unnest(g) as x from {name}_s),
+{name}_p as (select a.key as t, b.key as e, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from {name}_e a join {name}_e b on a.scope = b.scope and a.x = b.x where a.side = 'train' and b.side = 'eval' group by 1, 2),
+{name} as (select least(t, e) as qa_key_a, greatest(t, e) as qa_key_b from {name}_p where c >= {threshold} * (na + nb - c) - 1e-9)"""
+
+
+SIDE = "case regexp_replace(lower(split), '[^a-z]+', '', 'g') when 'train' then 'train' when 'dev' then 'eval' when 'test' then 'eval' when 'validation' then 'eval' end as side"
+OVERLAP_SQL = (
+    "with "
+    + _overlap_sql("h", f"select qa_key as key, trim(regexp_replace(lower(nfc_normalize(url_decode(table_id))), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') as scope, question as body, {SIDE} from hybrid_questions", 1, 0.7)
+    + ", "
+    + _overlap_sql("c", f"select qa_key as key, 'all' as scope, context as body, {SIDE} from squad_examples", 3, 0.6)
+    + " select * from h union all select * from c"
+)
+LEAK_SQL = f"""with d as (select doc_id, {WS.format(c="text")} as ws from documents where text is not null), i as (select item_id, {WS.format(c="text")} as ws from benchmark_items where text is not null),
+dg as (select doc_id, unnest({_grams("ws", 12)}) as g from d where len(ws) >= 12), ig as (select item_id, unnest({_grams("ws", 12)}) as g from i where len(ws) >= 12)
+select distinct doc_id, item_id from dg join ig using (g)"""
+GROUP_SQL = f"""with recursive t as (select doc_id as key, text from documents union all select x.passage_key, x.text from (select unnest(negatives) as x from retrieval_triples) where x is not null),
+w as (select key, {WS.format(c="text")} as ws from t where text is not null), s as (select key, {_grams("ws", 3)} as g from w where len(ws) >= 20), e as (select key, len(g) as n, unnest(g) as x from s),
+p as (select a.key as a, b.key as b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.x = b.x and a.key < b.key group by 1, 2),
+l as (select a, b from p where c >= 0.5 * (na + nb - c) union all select b, a from p where c >= 0.5 * (na + nb - c)),
+r as (select a as src, b as dst from l union select r.src, l.b from r join l on r.dst = l.a)
+select min(dst) as key_a, src as key_b from r group by src having min(dst) < src"""
+
+
 def _top(spark: SparkSession, d: str) -> DataFrame:
     from answerforge.llm.topn import top_n_per_group
 
@@ -54,7 +90,7 @@ def _edited_texts(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(negatives.select(F.col("n.passage_key").alias("key"), F.col("n.text").alias("text")))
 
 
-@query()
+@query(GROUP_SQL)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from answerforge.llm.neardup import near_duplicate_groups
 
@@ -67,7 +103,7 @@ def _leaks(spark: SparkSession, d: str, edits: int) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark_items"), "item_id", "text", min_words=12, edits=edits)
 
 
-@query()
+@query(LEAK_SQL)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     # The words must be equal, so the edit budget over normalised text is 0.
     return _leaks(spark, d, 0).where("run_words >= 12").select("doc_id", "item_id")
@@ -86,7 +122,7 @@ def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return questions, contexts
 
 
-@query()
+@query(OVERLAP_SQL)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     questions, contexts = _overlaps(spark, d)
     return questions.unionByName(contexts).select(F.least("train_key", "eval_key").alias("qa_key_a"), F.greatest("train_key", "eval_key").alias("qa_key_b"))
