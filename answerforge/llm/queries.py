@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerforge.session import table
+from answerforge.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,7 +87,7 @@ def p2_ranked(spark: SparkSession, d: str) -> DataFrame:
 def _edited_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
     negatives = table(spark, d, "retrieval_triples").select(F.explode("negatives").alias("n"))
-    return docs.unionByName(negatives.select(F.col("n.passage_key").alias("key"), F.col("n.text").alias("text")))
+    return spread(docs.unionByName(negatives.select(F.col("n.passage_key").alias("key"), F.col("n.text").alias("text"))))
 
 
 @query(GROUP_SQL)
@@ -100,7 +100,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def _leaks(spark: SparkSession, d: str, edits: int) -> DataFrame:
     from answerforge.llm.leaks import leaked_passages
 
-    return leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark_items"), "item_id", "text", min_words=12, edits=edits)
+    return leaked_passages(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark_items"), "item_id", "text", min_words=12, edits=edits)
 
 
 @query(LEAK_SQL)
@@ -158,7 +158,7 @@ def p1_clean_text(spark: SparkSession, d: str) -> DataFrame:
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from answerforge.llm.mixing import mix_sources
 
-    return mix_sources(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "source_weights"))
+    return mix_sources(spread(table(spark, d, "documents").select("doc_id", "text", "source")), "doc_id", "text", "source", table(spark, d, "source_weights"))
 
 
 @query()
@@ -174,7 +174,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     from answerforge.llm.level import reading_levels
 
-    return reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "level_labels"), "coalesce(form, '') <> 'table'", 30)
+    return reading_levels(spread(table(spark, d, "documents").select("doc_id", "text", "form")), "doc_id", "text", table(spark, d, "level_labels"), "coalesce(form, '') <> 'table'", 30)
 
 
 @query()
