@@ -81,10 +81,24 @@ def take_by_hash(df: DataFrame, key: str, n: int, by: list[str] | None = None, s
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def take_by_hash_large(df: DataFrame, key: str, n: int, by: str, seed: int = 0) -> DataFrame:
+    """As take_by_hash for few groups of any size: counts per group and hash cell (at most 65,536 a group)
+    tell the cell in which the n-th row lies; only that cell's rows are ranked, so no task holds a group."""
+    marked = df.withColumn("_h", hash_order(key, seed=seed)).withColumn("_cell", F.substring("_h", 1, 4))
+    cells = marked.groupBy(by, "_cell").agg(F.count("*").alias("_c"))
+    run = cells.withColumn("_before", F.sum("_c").over(Window.partitionBy(by).orderBy("_cell")) - F.col("_c")).where(F.col("_before") < n)
+    edge = run.groupBy(by).agg(F.max("_cell").alias("_last"), F.max("_before").alias("_before"))
+    near = marked.join(F.broadcast(edge), by).where(F.col("_cell") <= F.col("_last"))
+    sure = near.where(F.col("_cell") < F.col("_last"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_h", key))
+    rest = near.where(F.col("_cell") == F.col("_last")).withColumn("_n", rank).where(F.col("_n") + F.col("_before") <= n).drop("_n")
+    return sure.unionByName(rest).select(*df.columns)
+
+
 def balance_classes(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """As many rows of each class as the smallest has, in hash order. Class sizes are one row a class."""
     least = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    return take_by_hash(df, key, least, [label], seed)
+    return take_by_hash_large(df, key, least, label, seed)
 
 
 def split_by_fraction(df: DataFrame, key: str, fractions: dict[str, float], seed: int = 0) -> DataFrame:

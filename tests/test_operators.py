@@ -175,3 +175,11 @@ def test_passage_metric_votes(spark):
     stats = {r["example_id"]: (r["has_gold"], r["has_pred"], r["value"]) for r in reading.passage_stats(df).collect()}
     assert stats == {"a": (True, True, 1.0), "b": (False, True, 0.0), "c": (True, False, 0.0)}
     assert {r["example_id"]: r["value"] for r in reading.minimal_stats(df).collect()}["a"] == 1.0
+
+
+def test_large_samples_equal_the_plain_ones(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 3 == 0).cast("int").alias("c"))
+    for n in (0, 1, 17, 900, 5000):
+        assert rows(ranking.take_by_hash_large(df, "id", n, "c", 4)) == rows(ranking.take_by_hash(df, "id", n, ["c"], 4))
+    sizes = {r["c"]: r["count"] for r in ranking.balance_classes(df, "c", "id").groupBy("c").count().collect()}
+    assert sizes == {0: 1000, 1: 1000}
