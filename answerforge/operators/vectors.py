@@ -14,6 +14,7 @@ from answerforge.operators.topk import RunningTopK
 
 #: Query vectors that go to the tasks at once; more are searched in further passes.
 QUERY_BLOCK, ROW_BLOCK = 4096, 512
+MOST_CENTROIDS = 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -109,21 +110,39 @@ def centroids_by_label(vectors: DataFrame, label: str = "label", vector: str = "
     return means.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def centroid_scores(vectors: DataFrame, centroids: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, cid, score) with every centroid. The centroids of an index are a bounded table."""
-    table = F.broadcast(centroids.agg(F.collect_list(F.struct("cid", "centroid")).alias("cs")))
-    each = vectors.join(table).select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), F.explode("cs").alias("c"))
-    return each.select("vec_id", F.col("c.cid").alias("cid"), F.round(dot(F.col("v"), F.col("c.centroid")), 6).alias("score"))
+def centroid_scores(vectors: DataFrame, centroids: DataFrame, ids: list[str] | None = None, vector: str = "embedding", n: int | None = None) -> DataFrame:
+    """(ids.., cid, score): the n best centroids of each vector (score, then smallest cid), all without n.
 
+    The centroids of an index are at most MOST_CENTROIDS; they go to the tasks once, and a row's best are
+    chosen where the row is: nothing is shuffled.
+    """
+    ids = ids or ["vec_id"]
+    table = centroids.select("cid", "centroid").limit(MOST_CENTROIDS + 1).collect()
+    if len(table) > MOST_CENTROIDS:
+        raise ValueError(f"an index has at most {MOST_CENTROIDS} centroids")
+    table.sort(key=lambda r: r["cid"])
+    cids = np.array([r["cid"] for r in table], np.int64)
+    m = np.array([r["centroid"] for r in table], np.float64).reshape(len(table), -1)
+    keep = len(cids) if n is None else min(n, len(cids))
+    base = vectors.where(F.col(vector).isNotNull()).select(*ids, F.col(vector).alias("_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not keep:
+                continue
+            scores = np.round(_matrix(batch.column(len(ids))) @ m.T, 6)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+            at = np.repeat(np.arange(len(scores)), keep)
+            own = [batch.column(i).take(pa.array(at)) for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(cids[best.ravel()]), pa.array(scores[at, best.ravel()])], names=[*ids, "cid", "score"])
 
-def nearest_centroid(scores: DataFrame) -> DataFrame:
-    """(vec_id, code, score): highest score, then smallest centroid."""
-    return best_centroids(scores, 1).select("vec_id", F.col("cid").alias("code"), "score")
+    kinds = dict(base.dtypes)
+    return base.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ids) + ", cid bigint, score double")
 
 
-def best_centroids(scores: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("vec_id").orderBy(F.col("score").desc(), "cid")
-    return scores.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).drop("n")
+def nearest_centroid(vectors: DataFrame, centroids: DataFrame, ids: list[str] | None = None, vector: str = "embedding") -> DataFrame:
+    """(ids.., code, score): highest score, then smallest centroid."""
+    return centroid_scores(vectors, centroids, ids, vector, 1).withColumnRenamed("cid", "code")
 
 
 def inverted_lists(codes: DataFrame) -> DataFrame:
@@ -180,7 +199,7 @@ def pair_scores(doc_tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
 def plaid_cascade(doc_tokens: DataFrame, query_tokens: DataFrame, centroids: DataFrame, threshold: float, ndocs: int, k: int) -> DataFrame:
     """Three stages on tables (d, tok, code, v) and (q, qtok, v): centroid scores above the threshold, all
     centroid scores, then exact token maxima; each keeps fewer documents per query."""
-    qc = centroid_scores(query_tokens.withColumn("vec_id", F.struct("q", "qtok")), centroids, "vec_id", "v").select("vec_id.q", "vec_id.qtok", F.col("cid").alias("code"), "score")
+    qc = centroid_scores(query_tokens, centroids, ["q", "qtok"], "v").withColumnRenamed("cid", "code")
     codes = doc_tokens.select("d", "code").distinct()
     seen = codes.join(qc.where(F.col("score") >= threshold), "code")
     first = rank_by_score(token_maxima(seen), ndocs, "q", "d").select("q", "d")

@@ -148,8 +148,9 @@ def labelled_ranking(spark: SparkSession, d: str) -> DataFrame:
 @query(JUDGED + " select (select count(distinct qid) from jud) as judged, (select count(distinct qid) from bm) as ranked, (select count(*) from (select distinct qid from bm) anti join (select distinct qid from jud) using (qid)) as unjudged")
 def query_coverage(spark: SparkSession, d: str) -> DataFrame:
     run, judged = _run(spark, d)
-    one = judged.agg(F.countDistinct("qid").alias("judged")).join(run.agg(F.countDistinct("qid").alias("ranked")))
-    return one.join(run.select("qid").distinct().join(judged, "qid", "left_anti").agg(F.count("*").alias("unjudged")))
+    j = judged.select("qid", F.lit(True).alias("j")).distinct()
+    both = run.select("qid", F.lit(True).alias("r")).distinct().join(j, "qid", "full")
+    return both.agg(F.count("j").alias("judged"), F.count("r").alias("ranked"), F.count(F.when(F.col("j").isNull(), 1)).alias("unjudged"))
 
 
 @query(BM10 + ", t as (select distinct doc_id from bm where rank <= 3) select d.doc_id, d.title from documents d semi join t using (doc_id)")

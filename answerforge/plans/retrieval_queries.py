@@ -156,10 +156,12 @@ select round(sum(case when f <= 10 then 1.0::double / f else 0 end) / (select co
 def msmarco_eval(spark: SparkSession, d: str) -> DataFrame:
     """Mean reciprocal rank over the judged queries and over all."""
     run, judged = _run(spark, d)
-    first = evaluate.first_relevant(run, judged).agg(F.sum(F.when(F.col("first_rank") <= 10, 1.0 / F.col("first_rank")).otherwise(0.0)).alias("s"), F.count("*").alias("judged"))
-    ranked = run.agg(F.countDistinct("qid").alias("ranked"))
-    asked = table(spark, d, "retrieval_triples").agg(F.countDistinct("id").alias("asked"))
-    return first.join(ranked).join(asked).select(F.round(F.col("s") / F.col("judged"), 6).alias("mrr_judged"), F.round(F.col("s") / F.col("asked"), 6).alias("mrr_all"), "judged", "ranked")
+    # One row per query from each side, then one aggregate: no join of totals.
+    judged_rows = evaluate.first_relevant(run, judged).select(F.when(F.col("first_rank") <= 10, 1.0 / F.col("first_rank")).otherwise(0.0).alias("rr"), F.lit(1).alias("j"))
+    ranked_rows = run.select("qid").distinct().select(F.lit(0.0).alias("rr"), F.lit(1).alias("r"))
+    asked_rows = table(spark, d, "retrieval_triples").select("id").distinct().select(F.lit(0.0).alias("rr"), F.lit(1).alias("a"))
+    all_rows = judged_rows.unionByName(ranked_rows, allowMissingColumns=True).unionByName(asked_rows, allowMissingColumns=True)
+    return all_rows.agg(F.sum("rr").alias("s"), F.count("j").alias("judged"), F.count("r").alias("ranked"), F.count("a").alias("asked")).select(F.round(F.col("s") / F.col("judged"), 6).alias("mrr_judged"), F.round(F.col("s") / F.col("asked"), 6).alias("mrr_all"), "judged", "ranked")
 
 
 @query(JUDGED + """, f as (select qid, min(rank) as f from bm semi join jud using (qid, doc_id) group by 1) select floor(1000 * avg((f <= 1)::int)) / 1000 as success_1, floor(1000 * avg((f <= 5)::int)) / 1000 as success_5, floor(1000 * avg((f <= 10)::int)) / 1000 as success_10 from (select distinct qid from jud) left join f using (qid)""")

@@ -76,7 +76,7 @@ def _centroids(e: DataFrame) -> DataFrame:
 
 
 def _codes(e: DataFrame, c: DataFrame) -> DataFrame:
-    return vectors.nearest_centroid(vectors.centroid_scores(e, c))
+    return vectors.nearest_centroid(e, c)
 
 
 @query(f"with {CENT} select * from code")
@@ -88,7 +88,7 @@ def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {CENT} select vec_id as qtok, cid, score from (select *, row_number() over (partition by vec_id order by score desc, cid) as n from cs where vec_id % 50 = 0) where n <= 2")
 def candidate_cells(spark: SparkSession, d: str) -> DataFrame:
     e, q = _load(spark, d)
-    return vectors.best_centroids(vectors.centroid_scores(q, _centroids(e)), 2).withColumnRenamed("vec_id", "qtok")
+    return vectors.centroid_scores(q, _centroids(e), n=2).withColumnRenamed("vec_id", "qtok")
 
 
 @query(f"with {CENT} select code, count(distinct vec_id // 4) as pids, min(vec_id // 4) as first_pid, max(vec_id // 4) as last_pid from code group by 1")
@@ -103,7 +103,7 @@ def candidate_pids(spark: SparkSession, d: str) -> DataFrame:
     e, q = _load(spark, d)
     c = _centroids(e)
     lists = vectors.inverted_lists(_codes(e, c).withColumn("pid", F.floor(F.col("vec_id") / 4)))
-    cells = vectors.best_centroids(vectors.centroid_scores(q, c), 2).select(F.floor(F.col("vec_id") / 200).alias("q"), F.col("cid").alias("code")).distinct()
+    cells = vectors.centroid_scores(q, c, n=2).select(F.floor(F.col("vec_id") / 200).alias("q"), F.col("cid").alias("code")).distinct()
     return cells.join(lists, "code").select("q", "pid").distinct()
 
 

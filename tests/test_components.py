@@ -74,7 +74,7 @@ def test_calibration_and_centroids(spark):
     assert got.where("(confidence > 0.5) = (y = 1)").count() == 200
     e = spark.createDataFrame([(i, [float(i % 2 * 10), float(i)]) for i in range(20)], "vec_id bigint, embedding array<float>")
     c = calibration.train_centroids(e, 2)
-    assert c.count() == 2 and vectors.nearest_centroid(vectors.centroid_scores(e, c)).count() == 20
+    assert c.count() == 2 and vectors.nearest_centroid(e, c).count() == 20
 
 
 def test_more_readers(spark, tmp_path):
