@@ -189,3 +189,11 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     about = table(spark, d, "documents").select("doc_id", F.when(lang.isin("en", "fr", "de", "es"), lang).alias("lang"), "form", F.length("text").alias("chars"))
     levels = _levels(spark, d)
     return about.join(levels, "doc_id").groupBy("level", "lang", "form").agg(F.count("*").alias("docs"), F.sum("chars").cast("bigint").alias("chars"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
+
+
+@query("""with t as (select record_id, x, i from (select record_id, document.tokens as ts from nq_examples), unnest(ts) with ordinality u(x, i) where x is not null)
+select record_id, 'token' as element, (i - 1)::int as item_no from t where x.is_html is null or x.is_html <> regexp_full_match(x.token, '</?[A-Za-z][^>]*>')""")
+def p1_wrong_tokens(spark: SparkSession, d: str) -> DataFrame:
+    from answerforge.llm.markup import wrong_tokens
+
+    return wrong_tokens(table(spark, d, "nq_examples"), "record_id", "document.tokens")
