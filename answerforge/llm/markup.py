@@ -35,9 +35,9 @@ _PROTECTED = re.compile(
     |(?P<block><(?P<tag>pre|syntaxhighlight|source|listing)\b[^>]*>.*?(?:</(?P=tag)\s*>|\Z)
         |^[ ]{0,3}(?P<fence>`{3,}|~{3,})[^\n]*\n.*?(?:^[ ]{0,3}(?P=fence)[`~]*[ \t]*$|\Z)
         |\\begin\{(?P<verb>verbatim|lstlisting|minted|Verbatim|alltt)\*?\}.*?(?:\\end\{(?P=verb)\*?\}|\Z))
-    |(?P<inline><code\b[^>]*>.*?</code\s*>|(?P<tick>`+)(?!`)[^\n]*?(?<!`)(?P=tick)(?!`))
-    |(?P<display>\$\$.+?\$\$|\\\[.*?\\\]|\\begin\{(?P<env>equation|align|gather|multline|displaymath|math|eqnarray)\*?\}.*?\\end\{(?P=env)\*?\})
-    |(?P<formula><math\b[^>]*>.*?</math\s*>|\\\(.*?\\\))
+    |(?P<inline><code\b[^>]*>(?:(?!<code\b).)*?</code\s*>|(?P<tick>`+)(?!`)[^\n]*?(?<!`)(?P=tick)(?!`))
+    |(?P<display>\$\$.+?\$\$|\\\[(?:(?!\\\[).)*?\\\]|\\begin\{(?P<env>equation|align|gather|multline|displaymath|math|eqnarray)\*?\}(?:(?!\\begin\{(?P=env)).)*?\\end\{(?P=env)\*?\})
+    |(?P<formula><math\b[^>]*>(?:(?!<math\b).)*?</math\s*>|\\\((?:(?!\\\().)*?\\\))
     |(?P<escape>\\[\\$%&\#_{}`*])
     |(?P<dollar>\$(?=\S)[^$\n]*\$)""",
     re.S | re.M | re.X | re.I,
@@ -57,8 +57,9 @@ _LINE = re.compile(
 _RULE = re.compile(r"(={3,}|-{3,})\s*$")
 _HOLD = re.compile("\ue000(\\d+)\ue001")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_LINK = re.compile(r"<a\b[^>]*>(.*?)</a\s*>|\[\[(?:[^\]|]*\|)?([^\]]*)\]\]|\[([^\]]*)\]\([^)\s]*\)", re.S | re.I)
-_DROP_INSIDE = re.compile(r"<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref\s*>|<sup>\[\d+\]</sup>|\{\{[^{}]*\}\}|\\(?:cite|label|ref)\{[^}]*\}|\\footnote\{[^}]*\}", re.S | re.I)
+# What opens again before it closes is no such mark; so a text full of unclosed marks is read in one pass.
+_LINK = re.compile(r"<a\b[^>]*>((?:(?!<a\b).)*?)</a\s*>|\[\[(?:[^\]\[|]*\|)?([^\]\[]*)\]\]|\[([^\]\[]*)\]\([^)\s]*\)", re.S | re.I)
+_DROP_INSIDE = re.compile(r"<ref\b[^>]*/>|<ref\b[^>]*>(?:(?!<ref\b).)*?</ref\s*>|<sup>\[\d+\]</sup>|\{\{[^{}]*\}\}|\\(?:cite|label|ref)\{[^}]*\}|\\footnote\{[^}]*\}", re.S | re.I)
 _MACRO = re.compile(r"\\(?:emph|textbf|textit|texttt|underline)\{([^{}]*)\}")
 _ENV = re.compile(r"\\(?:begin|end)\{[^}]*\}")
 _EMPHASIS = re.compile(r"'{2,5}|\*\*|__|(?<!\w)[_*](?=\w)|(?<=\w)[_*](?!\w)")
@@ -125,9 +126,10 @@ def segment(doc: str) -> list[Block]:
         if len(spans) == 1 and mark in ("plain", "indent", "cell") and not _HOLD.sub("", _TAG.sub("", text)).strip():
             blocks.append(spans[0])  # the block is nothing but this
             return
+        here = len(blocks)
         blocks.append(own)
         for s in spans:
-            s.parent = blocks.index(own) if len(blocks) < 3 else _index(blocks, own)
+            s.parent = here
             blocks.append(s)
 
     def lines(piece: str) -> None:
@@ -184,10 +186,6 @@ def segment(doc: str) -> list[Block]:
     return blocks
 
 
-def _index(blocks: list[Block], own: Block) -> int:
-    return next(i for i in range(len(blocks) - 1, -1, -1) if blocks[i] is own)
-
-
 def _is_math_span(doc: str, m: re.Match) -> bool:
     """A dollar span is worth a look by the tree unless it touches word characters on the wrong sides;
     whether it is a formula or two amounts the tree decides from the signs around it."""
