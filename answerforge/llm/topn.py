@@ -6,9 +6,8 @@
 3. Per (group, score bin) counts, combined map-side, give for every large group the highest bin such
    that at least N candidates lie in it or above: a safe lower threshold. Bins are logarithmic in the
    score, so groups on any scale get useful ones.
-4. Rows below their group's threshold are dropped. The thresholds are joined on (group, salt): a
-   broadcast only where the written table is smaller than the session's limit, otherwise a shuffle
-   in which a hot group is spread over SALTS partitions.
+4. Rows below their group's threshold are dropped. Up to FEW_FLOORS thresholds, counted, are broadcast;
+   more are joined on (group, salt) by a shuffle in which a hot group is spread over SALTS partitions.
 5. Survivors are ranked exactly: score descending, tie columns ascending with NULL last, id ascending.
 
 Defined results: an empty table gives none; NULL group is a group of its own; a NULL part of the
@@ -26,6 +25,8 @@ from answerforge.session import materialize
 SALTS = 8
 #: Groups up to this many candidates are ranked as they are.
 SMALL_GROUP = 64
+#: Thresholds that may be broadcast: rows of a group name and a number, a few MB in all.
+FEW_FLOORS = 50_000
 
 
 def score_bin(score: Column) -> Column:
@@ -60,9 +61,15 @@ def top_n_per_group(df: DataFrame, group: str, score: str, item: str, ties: list
     rows = materialize(one, "candidates")
     binned = rows.withColumn("bin", score_bin(F.col("s").cast("double")))
     floors = materialize(safe_thresholds(binned, n, small), "floors")
-    salted = floors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("g", "fg")
-    left = binned.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
-    kept_rows = left.join(salted.withColumnRenamed("salt", "fsalt"), F.col("g").eqNullSafe(F.col("fg")) & (F.col("salt") == F.col("fsalt")), "left").where(F.col("floor_bin").isNull() | (F.col("bin") >= F.col("floor_bin")))
+    same_group = F.col("g").eqNullSafe(F.col("fg"))
+    floors = floors.withColumnRenamed("g", "fg")
+    if floors.count() <= FEW_FLOORS:
+        met = binned.join(F.broadcast(floors), same_group, "left")
+    else:
+        salted = floors.withColumn("fsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        left = binned.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
+        met = left.join(salted, same_group & (F.col("salt") == F.col("fsalt")), "left")
+    kept_rows = met.where(F.col("floor_bin").isNull() | (F.col("bin") >= F.col("floor_bin")))
     order = [F.col("s").desc(), *[F.col(f"t{k}").asc_nulls_last() for k in range(len(ties))], F.col("i").asc()]
     ranked = kept_rows.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("pos") <= n)
     return ranked.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), *[F.col(f"t{k}").alias(t) for k, t in enumerate(ties)], "pos")

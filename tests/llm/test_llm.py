@@ -51,8 +51,9 @@ def test_word_hashes_agree_with_words(monkeypatch):
 # --- 2: top N ------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("small", [1, 64])
-def test_top_n_against_loops(spark, small):
+@pytest.mark.parametrize(("small", "few"), [(1, 50_000), (64, 50_000), (1, 0)])
+def test_top_n_against_loops(spark, monkeypatch, small, few):
+    monkeypatch.setattr(topn, "FEW_FLOORS", few)
     rng = random.Random(2)
     rows = []
     for i in range(3000):
