@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from answerforge.llm.pairs import attach_both, bucket_of, rarity_table
 from answerforge.llm.words import batch_hashes, chunks, mix, rolling, shingle_sets
-from answerforge.session import materialize
+from answerforge.session import join_hot_cold, materialize
 
 WINDOW = 8
 SHARED = 4
@@ -207,7 +207,8 @@ def cross_split_overlaps(df: DataFrame, key: str, scope: Column, text: str, spli
     directed = links.select(F.col("a").alias("c1"), F.col("b").alias("c2"), "overlap", F.col("cover_a").alias("train_cover"), F.col("cover_b").alias("eval_cover"))
     back = links.select(F.col("b").alias("c1"), F.col("a").alias("c2"), "overlap", F.col("cover_b").alias("train_cover"), F.col("cover_a").alias("eval_cover"))
     self_pairs = classes.where("has_eval = 1 and no_train = 0").select(F.col("cls").alias("c1"), F.col("cls").alias("c2"), one.alias("overlap"), one.alias("train_cover"), one.alias("eval_cover"))
-    owned = members.join(classes.select(*same, "cls"), same)
+    total = members.count()
+    owned = materialize(join_hot_cold(members, classes.select(*same, "cls", "rows"), same, "rows", total).select("cls", "key", "side"), "owned")
     trains = owned.where("side = 0").select(F.col("cls").alias("c1"), F.col("key").alias("train_key"))
     helds = owned.where("side = 1").select(F.col("cls").alias("c2"), F.col("key").alias("eval_key"))
     out = directed.unionByName(back).unionByName(self_pairs).join(trains, "c1").join(helds, "c2")
