@@ -66,9 +66,10 @@ def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
     return sparse.doc_lengths(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
 
 
-@query()
+@query(f"""with a as (with {bm25_sql(0.9, 10)} select * from bm), b as (with {bm25_sql(0.8, 10)} select * from bm), u as (select * from a union all select * from b)
+select qid, doc_id, score, new_rank as rank from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, rank desc, doc_id desc) as new_rank from u) where new_rank <= 10""")
 def merge_rankings(spark: SparkSession, d: str) -> DataFrame:
-    """Two rankings of different parameters merged; union_rankings has the same operator with its SQL."""
+    """Two rankings of different parameters merged."""
     return ranking.merge_rankings([_bm25(spark, d), _bm25(spark, d, 0.8)], 10)
 
 

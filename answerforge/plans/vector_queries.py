@@ -66,7 +66,7 @@ def rescore_documents(spark: SparkSession, d: str) -> DataFrame:
     return given.join(e.select("vec_id", "embedding"), "vec_id").select("qid", "vec_id", F.round(vectors.dot(F.col("qv"), F.col("embedding")), 6).alias("score"))
 
 
-CENT = E + """, px as (select label as cid, unnest(range(1, len(v) + 1)) as pos, v from e), cm as (select cid, pos, round(avg(v[pos]), 9) as m from px group by 1, 2),
+CENT = E + """, px as (select label::bigint as cid, unnest(range(1, len(v) + 1)) as pos, v from e), cm as (select cid, pos, round(avg(v[pos]), 9) as m from px group by 1, 2),
 cent as (select cid, list(m order by pos) as centroid from cm group by 1), cs as (select vec_id, cid, round(list_inner_product(v, centroid), 6) as score from e, cent),
 code as (select vec_id, cid as code, score from (select *, row_number() over (partition by vec_id order by score desc, cid) as n from cs) where n = 1)"""
 
