@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -61,11 +63,35 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_own: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver's Python ends."""
+    folder = f"{shared_dir(spark)}/answerforge-{spark.sparkContext.applicationId}"
+    if folder not in _own:
+        _own.add(folder)
+        atexit.register(clean_shared, folder, spark)
+    return folder
+
+
+def clean_shared(folder: str, spark: SparkSession) -> None:
+    """Removes the tables that `materialize` wrote under the folder; frames that read them end with it."""
+    try:
+        if folder.startswith("/") or folder.startswith("file:/"):
+            shutil.rmtree(folder.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        else:
+            target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone already
+        pass
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives the loss of executors,
     and gives the planner the true size for later broadcast decisions."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
