@@ -109,3 +109,8 @@ def partition_count(vectors: int) -> int:
     """Number of centroids of an index: the power of two not above 8 * sqrt(vectors)."""
     target = int(8 * max(1, vectors) ** 0.5)
     return 1 << (target.bit_length() - 1)
+
+
+def index_sample_size(vectors: int) -> int:
+    """Number of vectors on which the centroids of an index are fitted: all of a small collection."""
+    return min(vectors, 1 + int(16 * (120 * vectors) ** 0.5))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerforge.models.calibration import train_centroids
 from answerforge.operators import vectors
+from answerforge.operators.prepare import index_sample_size, partition_count
 from answerforge.operators.ranking import take_by_hash
 from answerforge.plans.registry import query
 from answerforge.session import materialize, table
@@ -147,6 +149,31 @@ def plaid_cascade(spark: SparkSession, d: str) -> DataFrame:
     return vectors.plaid_cascade(materialize(coded, "coded"), asked, c, 0.2, 40, 5)
 
 
+#: Of plaid_search: a code counts in stage 1 from this score on; documents after stage 1 (a quarter after stage 2).
+PLAID_THRESHOLD, PLAID_NDOCS = 0.1, 1024
+
+
+def _index(e: DataFrame) -> DataFrame:
+    """Centroids of an index over e: partition_count(n) of them by k-means, on a sample by hash of about
+    index_sample_size(n) rows, which grows with the root of n. Only this fit is on a sample."""
+    n = e.count()
+    share = index_sample_size(n) / max(1, n)
+    sample = e if share >= 1 else e.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return materialize(train_centroids(sample, partition_count(n)), "centroids")
+
+
+@query()
+def plaid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade over a k-means index in which every row is coded; k-means has no SQL.
+
+    plaid_cascade, whose SQL fixes label means and a threshold of 0.2, finds nothing on the given tables."""
+    e, _ = _load(spark, d)
+    docs, asked = _tokens(spark, d)
+    c = _index(e)
+    coded = docs.join(_codes(e, c).select(F.col("vec_id").alias("tok"), "code"), "tok")
+    return vectors.plaid_cascade(materialize(coded, "coded"), asked, c, PLAID_THRESHOLD, PLAID_NDOCS, 5)
+
+
 RES = f"with {CENT}, h as (select * from e order by md5(concat_ws('|', vec_id::varchar, '11')), vec_id limit 50000), r as (select h.vec_id, pos, v[pos] - centroid[pos] as x from h join code using (vec_id) join cent on cent.cid = code.code, range(1, 65) t(pos))"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from answerforge.operators import evaluate, logical_form, passages, ranking, reading, sparse, vectors, windows
 from answerforge.operators.components import connected_components
+from answerforge.plans import load_queries
 
 
 def rows(df):
@@ -183,3 +184,11 @@ def test_large_samples_equal_the_plain_ones(spark):
         assert rows(ranking.take_by_hash_large(df, "id", n, "c", 4)) == rows(ranking.take_by_hash(df, "id", n, ["c"], 4))
     sizes = {r["c"]: r["count"] for r in ranking.balance_classes(df, "c", "id").groupBy("c").count().collect()}
     assert sizes == {0: 1000, 1: 1000}
+
+
+def test_plaid_search_finds_what_maxsim_ranks_first(spark):
+    folder = "/root/testdata/sf0.1"
+    queries = load_queries()[0]
+    best = {(r.q, r.d) for r in queries["maxsim"](spark, folder).where("rank <= 5").collect()}
+    found = {(r.q, r.d) for r in queries["plaid_search"](spark, folder).collect()}
+    assert best and len(found & best) >= 0.9 * len(best)
