@@ -12,9 +12,11 @@ then per bucket:
   deeper, until MAX_DEPTH. Sets still together there agree in many sampled values; being paired with
   one pivot each keeps the work linear where a group of near-copies holds a large part of the rows.
 
-A task settles the buckets that are large among its own sets before the shuffle and sends on one set
-of each, so a hot bucket is combined map-side; after the shuffle a partition's buckets are walked as a
-sorted stream of (path, key) rows, none held whole.
+A bucket that is large among one batch's sets is large among all: its sets are paired with the batch's
+least before the shuffle and only that one goes to the bucket, marked crowded, so a hot bucket is
+combined map-side. The others pass the shuffle spread over the partitions and go down one level
+together with the bucket's sets of all other batches. After the shuffle a partition's buckets are
+walked as a sorted stream of (path, key) rows, none held whole.
 
 Runs are repeated until the expected recall of a pair at the threshold reaches the target. Candidates
 are verified on the exact sets; links give connected components.
@@ -43,7 +45,7 @@ POSITIONS, DEPTH, MAX_DEPTH, SMALL, BRANCH = 64, 2, 6, 128, 2
 CHECKS, AGREE = 8, 2
 FILTER_BITS = 23
 PATHS = "path bigint, a bigint, x bigint, kind tinyint"
-MEMBER, CROWDED, PAIR = 0, 1, 2
+MEMBER, CROWDED, PAIR, GOING = 0, 1, 2, 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,28 +131,23 @@ def _pair_rows(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray
         return _rows(mix(mix(lo.view(np.uint64)) * _GOLD + hi.view(np.uint64)), lo, hi, PAIR)
 
 
-def _spread(paths: np.ndarray, keys: np.ndarray, sig: np.ndarray, rows: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
-    """Path rows of one task's sets. A bucket with more than SMALL of them is settled here: its least set
-    alone goes on, marked crowded, the others are paired with it, and all descend."""
-    while len(paths):
-        order = np.lexsort((keys[rows], paths))
-        paths, rows = paths[order], rows[order]
-        check = _check_bytes(paths, sig, rows)
-        first = np.flatnonzero(np.append(True, paths[1:] != paths[:-1]))
-        size = np.diff(np.append(first, len(paths)))
-        full = np.repeat(size > SMALL, size)
-        head = np.zeros(len(paths), bool)
-        head[first] = True
-        go = ~full | head
-        yield _rows(paths[go], keys[rows[go]], check[go], full[go])
-        if not full.any():
-            return
-        lead, rest = np.repeat(first, size), full & ~head
+def _spread(paths: np.ndarray, keys: np.ndarray, sig: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Path rows of one batch's sets. Of a bucket with more than SMALL of them the least set alone goes to the
+    bucket, marked crowded; the others are paired with it and are GOING down whatever the bucket holds."""
+    order = np.lexsort((keys[rows], paths))
+    paths, rows = paths[order], rows[order]
+    check = _check_bytes(paths, sig, rows)
+    first = np.flatnonzero(np.append(True, paths[1:] != paths[:-1]))
+    size = np.diff(np.append(first, len(paths)))
+    full = np.repeat(size > SMALL, size)
+    head = np.zeros(len(paths), bool)
+    head[first] = True
+    rest = full & ~head
+    yield _rows(paths[~rest], keys[rows[~rest]], check[~rest], full[~rest])
+    if rest.any():
+        lead = np.repeat(first, size)
         yield _pair_rows(keys[rows[lead[rest]]], keys[rows[rest]], check[lead[rest]], check[rest])
-        if depth >= MAX_DEPTH:
-            return
-        paths, rows = _descend(paths[full], sig, rows[full])
-        depth += 1
+        yield _rows(paths[rest], keys[rows[rest]], check[rest], GOING)
 
 
 def _start_paths(runs: int, depth: int):
@@ -164,18 +161,18 @@ def _start_paths(runs: int, depth: int):
                 paths = np.full(len(keys), mix(np.array([r + 1], np.uint64))[0], np.uint64)
                 for _ in range(depth):
                     paths, rows = _descend(paths, sig, rows)
-                yield from _spread(paths, keys, sig, rows, depth)
+                yield from _spread(paths, keys, sig, rows)
 
     return run
 
 
-def _next_paths(depth: int):
+def _next_paths():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys, paths, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), _signatures(batch.column(2))
                 paths, rows = _descend(paths, sig, np.arange(len(keys)))
-                yield from _spread(paths, keys, sig, rows, depth)
+                yield from _spread(paths, keys, sig, rows)
 
     return run
 
@@ -186,15 +183,23 @@ def _then_end(batches: Iterator) -> Iterator:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of one partition, in path order, as a stream; no bucket is held whole.
+    """Buckets of one partition, in path order, as a stream; no bucket is held whole. GOING rows come last.
 
     Output rows: pairs, and members of buckets that must descend (CROWDED).
     """
+    last = (None, None)  # (path, key) of the GOING row before
     cols = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)]
     lead: tuple | None = None  # (path, least key, its check bytes) of a large bucket of which more may follow
     for batch in _then_end(batches):
         if batch is not None:
             new = [batch.column(i).to_numpy() for i in range(4)]
+            going = new[3] == GOING
+            if going.any():
+                path, a, x = (c[going] for c in new[:3])
+                once = np.append((path[0], a[0]) != last, (path[1:] != path[:-1]) | (a[1:] != a[:-1]))
+                last = (path[-1], a[-1])
+                yield _rows(path[once], a[once], x[once], CROWDED)
+                new = [c[~going] for c in new]
             cols = [np.append(c, n.view(c.dtype)) for c, n in zip(cols, new)]
         path = cols[0]
         if not len(path):
@@ -282,7 +287,9 @@ def candidate_pairs(sketches: DataFrame, runs: int) -> DataFrame:
     paths = sig.mapInArrow(_start_paths(runs, DEPTH), PATHS)
     found, depth = [], DEPTH
     while True:
-        met = materialize(paths.repartition("path").sortWithinPartitions("path", "a").mapInArrow(_walk, PATHS), "met")
+        going = F.col("kind") == GOING
+        placed = paths.repartition(F.when(going, F.xxhash64("path", "a")).otherwise(F.col("path")))
+        met = materialize(placed.sortWithinPartitions(going, "path", "a").mapInArrow(_walk, PATHS), "met")
         found.append(met.where(F.col("kind") == PAIR).select("a", F.col("x").alias("b")))
         deeper = met.where(F.col("kind") == CROWDED).select(F.col("a").alias("key"), "path")
         if depth >= MAX_DEPTH or deeper.isEmpty():
@@ -290,7 +297,7 @@ def candidate_pairs(sketches: DataFrame, runs: int) -> DataFrame:
         if depth == DEPTH:  # every later level is among these sets
             sig = materialize(may_match(sig, deeper.select("key")), "signatures")
         depth += 1
-        paths = deeper.join(sig, "key").select("key", "path", "sig").mapInArrow(_next_paths(depth), PATHS)
+        paths = deeper.join(sig, "key").select("key", "path", "sig").mapInArrow(_next_paths(), PATHS)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)

@@ -120,6 +120,27 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     assert neardup.near_duplicate_groups(df.where("false"), "key", "text").count() == 0
 
 
+def family(base, share, count, first, rng, like=None):
+    """(keys, signatures) of sets that have `share` of the base's values, at the places of `like` if given."""
+    held = rng.random((count, neardup.POSITIONS)) < share if like is None else like
+    own = rng.integers(0, 2**16, (count, neardup.POSITIONS), dtype=np.uint16)
+    return list(range(first, first + count)), np.where(held, base, own), held
+
+
+def test_family_split_unevenly_over_batches_meets(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**16, neardup.POSITIONS, dtype=np.uint16)
+    many, sig, held = family(base, 0.7, 600, 1000, rng)
+    few, twin, _ = family(base, 0.7, 40, 5000, rng, held[:40])
+    rows = [(k, bytearray(v.tobytes())) for k, v in zip(many + few, np.concatenate([sig, twin]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "600")  # all of the many in one batch, the few in another
+    try:
+        met = {tuple(r) for r in neardup.candidate_pairs(spark.createDataFrame(rows, "key bigint, sig binary").coalesce(1), 6).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum((1000 + i, 5000 + i) in met for i in range(40)) >= 38
+
+
 def test_runs_reach_the_recall():
     assert neardup.runs_for(0.9, 0.5) < neardup.runs_for(0.999, 0.5)
     assert neardup.runs_for(0.99, 0.95) <= 2
