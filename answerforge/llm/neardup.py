@@ -9,8 +9,9 @@ then per bucket:
 
 * up to SMALL sets: all pairs in it (brute force);
 * more: every member is paired with the bucket's least member, and all its members go one level
-  deeper, until MAX_DEPTH. Sets still together there agree in many sampled values; being paired with
-  one pivot each keeps the work linear where a group of near-copies holds a large part of the rows.
+  deeper, until MAX_DEPTH. Sets still together there agree in many sampled values: most are linked with
+  their pivots. Once those links are verified, all pairs of such a bucket whose two sets are not in one
+  group yet are compared too, in blocks of about SMALL by SMALL sets; the others can't change a group.
 
 A bucket that is large among one batch's sets is large among all: its sets are paired with the batch's
 least before the shuffle and only that one goes to the bucket, marked crowded, so a hot bucket is
@@ -18,8 +19,9 @@ combined map-side. The others pass the shuffle spread over the partitions and go
 together with the bucket's sets of all other batches. After the shuffle a partition's buckets are
 walked as a sorted stream of (path, key) rows, none held whole.
 
-Runs are repeated until the expected recall of a pair at the threshold reaches the target. Candidates
-are verified on the exact sets; links give connected components.
+Runs are repeated until the expected recall of a pair at the threshold reaches the target at DEPTH; the
+sets of crowded buckets walk further runs, as many as the deepest level needs, half of the allowed
+misses for either part. Candidates are verified on the exact sets; links give connected components.
 
 Defined results: NULL, empty and short texts (under min_words) are in no group; a repeated key with
 equal text is one member; no row is dropped or capped, whatever the skew.
@@ -150,13 +152,13 @@ def _spread(paths: np.ndarray, keys: np.ndarray, sig: np.ndarray, rows: np.ndarr
         yield _rows(paths[rest], keys[rows[rest]], check[rest], GOING)
 
 
-def _start_paths(runs: int, depth: int):
+def _start_paths(runs: range, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, sig = batch.column(0).to_numpy(), _signatures(batch.column(1))
-            for r in range(runs):
+            for r in runs:
                 rows = np.arange(len(keys))
                 paths = np.full(len(keys), mix(np.array([r + 1], np.uint64))[0], np.uint64)
                 for _ in range(depth):
@@ -281,27 +283,60 @@ def may_match(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.mapInArrow(_passing(key_filter(keys)), df.schema)
 
 
-def candidate_pairs(sketches: DataFrame, runs: int) -> DataFrame:
-    """Distinct (a, b), a < b, of representatives that meet in some bucket. One shuffle of small rows a level."""
-    sig = sketches.select("key", "sig")
+def _levels(sig: DataFrame, runs: range) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(pairs, crowded, rest) of some runs: pairs (a, b) that met, signatures of the sets that were in a crowded
+    bucket, and rows (key, path, x) of the buckets still crowded at MAX_DEPTH. One shuffle of small rows a level."""
     paths = sig.mapInArrow(_start_paths(runs, DEPTH), PATHS)
-    found, depth = [], DEPTH
+    found, depth, crowded, rest = [], DEPTH, None, None
     while True:
         going = F.col("kind") == GOING
         placed = paths.repartition(F.when(going, F.xxhash64("path", "a")).otherwise(F.col("path")))
         met = materialize(placed.sortWithinPartitions(going, "path", "a").mapInArrow(_walk, PATHS), "met")
         found.append(met.where(F.col("kind") == PAIR).select("a", F.col("x").alias("b")))
-        deeper = met.where(F.col("kind") == CROWDED).select(F.col("a").alias("key"), "path")
-        if depth >= MAX_DEPTH or deeper.isEmpty():
+        deeper = met.where(F.col("kind") == CROWDED).select(F.col("a").alias("key"), "path", "x")
+        if deeper.isEmpty():
             break
-        if depth == DEPTH:  # every later level is among these sets
-            sig = materialize(may_match(sig, deeper.select("key")), "signatures")
+        if depth >= MAX_DEPTH:
+            rest = deeper
+            break
+        if crowded is None:  # every later level is among these sets
+            sig = crowded = materialize(may_match(sig, deeper.select("key")), "signatures")
         depth += 1
         paths = deeper.join(sig, "key").select("key", "path", "sig").mapInArrow(_next_paths(), PATHS)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    return pairs, crowded, rest
+
+
+def candidate_pairs(sketches: DataFrame, runs: int, deep_runs: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct (a, b), a < b, of representatives that meet in some bucket, and the rows (key, path, x) of buckets
+    that did not split. Sets that were in a crowded bucket walk deep_runs in all."""
+    pairs, crowded, rest = _levels(sketches.select("key", "sig"), range(runs))
+    if crowded is not None and deep_runs > runs:
+        more, _, last = _levels(crowded, range(runs, deep_runs))
+        pairs = pairs.unionByName(more)
+        rest = last if rest is None else rest if last is None else rest.unionByName(last)
+    return pairs.distinct(), rest
+
+
+def unsplit_pairs(rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of the buckets that did not split: all pairs with enough equal check bytes that are
+    in different groups so far. At least one set of such a pair is outside the bucket's main group; those sets are
+    the left side. Either side is dealt into blocks of about SMALL sets, and each cell (i, j) is joined for itself."""
+    named = rest.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sizes = named.groupBy("path", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("path").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("m")).where("most < m")
+    blocks = lambda n: F.ceil(n / F.lit(SMALL)).cast("int")
+    mixed = materialize(named.join(main.select("path", "main", blocks(F.col("m")).alias("mi"), blocks(F.col("m") - F.col("most")).alias("mj")), "path"), "mixed")
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = mixed.select("path", own("mi").alias("i"), every("mj").alias("j"), F.col("key").alias("rk"), F.col("root").alias("rr"), F.col("x").alias("rx"))
+    left = mixed.where("root <> main").select("path", every("mi").alias("i"), own("mj").alias("j"), F.col("key").alias("lk"), F.col("root").alias("lr"), F.col("x").alias("lx"))
+    differ = F.col("lx").bitwiseXOR(F.col("rx"))
+    same = sum((F.when(F.shiftright(differ, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(CHECKS)), F.lit(0))
+    met = left.join(right, ["path", "i", "j"]).where((F.col("lr") != F.col("rr")) & (same >= AGREE))
+    return met.select(F.least("lk", "rk").alias("a"), F.greatest("lk", "rk").alias("b")).distinct()
 
 
 def _sets(k: int):
@@ -359,9 +394,15 @@ def near_duplicate_groups(texts: DataFrame, key: str, text: str, k: int = 5, thr
     copies = materialize(sketches.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
     followers = materialize(join_hot_cold(sketches.select("key", "h1", "h2"), copies, ["h1", "h2"], "n", total).where("key <> rep").select("key", "rep", "n"), "followers")
     reps = sketches.join(followers, "key", "left_anti")
-    pairs = materialize(candidate_pairs(reps, runs_for(recall, threshold)), "pairs")
-    links = verified_links(base, pairs, k, threshold)
+    part = 1 - (1 - recall) / 2
+    pairs, rest = candidate_pairs(reps, runs_for(part, threshold), runs_for(part, threshold, MAX_DEPTH))
+    links = materialize(verified_links(base, materialize(pairs, "pairs"), k, threshold), "links")
     roots = materialize(connected_components(links, "a", "b"), "roots")
+    if rest is not None:
+        more = materialize(unsplit_pairs(rest, roots), "unsplit")
+        if not more.isEmpty():
+            links = links.unionByName(verified_links(base, more, k, threshold))
+            roots = materialize(connected_components(links, "a", "b"), "roots")
     # Copies take the root of their representative; counts of followers tell hot representatives.
     led = followers.groupBy("rep").agg(F.count("*").alias("n")).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     led = led.withColumn("root", F.coalesce("root", "rep"))

@@ -135,12 +135,26 @@ def test_family_split_unevenly_over_batches_meets(spark):
     rows = [(k, bytearray(v.tobytes())) for k, v in zip(many + few, np.concatenate([sig, twin]))]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "600")  # all of the many in one batch, the few in another
     try:
-        met = {tuple(r) for r in neardup.candidate_pairs(spark.createDataFrame(rows, "key bigint, sig binary").coalesce(1), 6).collect()}
+        met = {tuple(r) for r in neardup.candidate_pairs(spark.createDataFrame(rows, "key bigint, sig binary").coalesce(1), 6)[0].collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sum((1000 + i, 5000 + i) in met for i in range(40)) >= 38
 
 
+def test_pairs_of_a_bucket_that_does_not_split(spark):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**16, neardup.POSITIONS, dtype=np.uint16)
+    many, sig, held = family(base, 0.8, 1000, 1000, rng)
+    few, twin, _ = family(base, 0.8, 40, 5000, rng, held[:40])
+    rows = [(k, bytearray(v.tobytes())) for k, v in zip(many + few, np.concatenate([sig, twin]))]
+    pairs, rest = neardup.candidate_pairs(spark.createDataFrame(rows, "key bigint, sig binary"), 2)
+    late = neardup.unsplit_pairs(rest, spark.createDataFrame([(1001, 1000)], "node bigint, root bigint"))
+    twins = F.col("b") == F.col("a") + 4000
+    early = {tuple(r) for r in pairs.where(twins).collect()}
+    assert len(early) < 30 and len(early | {tuple(r) for r in late.where(twins).collect()}) >= 38
+    assert late.where("a = 1000 and b = 1001").isEmpty()  # in one group already
+
+
 def test_runs_reach_the_recall():
     assert neardup.runs_for(0.9, 0.5) < neardup.runs_for(0.999, 0.5)
     assert neardup.runs_for(0.99, 0.95) <= 2
