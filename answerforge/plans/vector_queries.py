@@ -177,27 +177,35 @@ def plaid_search(spark: SparkSession, d: str) -> DataFrame:
 RES = f"with {CENT}, h as (select * from e order by md5(concat_ws('|', vec_id::varchar, '11')), vec_id limit 50000), r as (select h.vec_id, pos, v[pos] - centroid[pos] as x from h join code using (vec_id) join cent on cent.cid = code.code, range(1, 65) t(pos))"
 
 
+HELD_OUT = 50_000
+
+
 def _residuals(e: DataFrame, c: DataFrame) -> DataFrame:
-    """(vec_id, pos, x): vector minus its centroid, of at most 50,000 held-out vectors in hash order."""
-    held = take_by_hash(e, "vec_id", 50_000, seed=11)
-    coded = held.join(_codes(held, c).select("vec_id", "code"), "vec_id").join(F.broadcast(c.select(F.col("cid").alias("code"), "centroid")), "code")
+    """(vec_id, pos, x): vector minus its centroid."""
+    coded = e.join(_codes(e, c).select("vec_id", "code"), "vec_id").join(F.broadcast(c.select(F.col("cid").alias("code"), "centroid")), "code")
     diff = F.zip_with("embedding", "centroid", lambda a, b: a.cast("double") - b)
     return coded.select("vec_id", F.posexplode(diff).alias("pos", "x"))
 
 
+def _held_out(e: DataFrame) -> DataFrame:
+    """The vectors that fit the cutoffs: at most HELD_OUT, in hash order."""
+    return take_by_hash(e, "vec_id", HELD_OUT, seed=11)
+
+
 @query(RES + " select q, round(quantile_cont(x, q), 5) as cutoff from r, (values (0.25::double), (0.5), (0.75)) v(q) group by 1".replace("quantile_cont(x, q)", "case q when 0.25 then quantile_cont(x, 0.25) when 0.5 then quantile_cont(x, 0.5) else quantile_cont(x, 0.75) end"))
 def residual_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Bucket cutoffs of a 2-bit residual code."""
     e, _ = _load(spark, d)
-    cuts = _residuals(e, _centroids(e)).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("c"))
+    cuts = _residuals(_held_out(e), _centroids(e)).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("c"))
     return cuts.select(F.explode(F.arrays_zip(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)).alias("q"), F.col("c").alias("c"))).alias("z")).select(F.col("z.q").alias("q"), F.round("z.c", 5).alias("cutoff"))
 
 
 @query(RES + ", c as (select round(quantile_cont(x, 0.25), 5) as a, round(quantile_cont(x, 0.5), 5) as b, round(quantile_cont(x, 0.75), 5) as c from r) select vec_id, sum(((x > a)::int + (x > b)::int + (x > c)::int))::bigint as code_sum, count(*) as dims from r, c group by 1")
 def residual_codes(spark: SparkSession, d: str) -> DataFrame:
-    """Each residual as the number of cutoffs below it; here their sum per vector."""
+    """Each residual as the number of cutoffs below it; here their sum per vector. The cutoffs come from the
+    held-out vectors, every vector is coded; the SQL stops at 50,000 vectors."""
     e, _ = _load(spark, d)
-    res = materialize(_residuals(e, _centroids(e)), "residuals")
-    cuts = [round(x, 5) for x in res.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] or []]
+    c = _centroids(e)
+    cuts = [round(x, 5) for x in _residuals(_held_out(e), c).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] or []]
     code = sum((F.when(F.col("x") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    return res.groupBy("vec_id").agg(F.sum(code).cast("bigint").alias("code_sum"), F.count("*").alias("dims"))
+    return _residuals(e, c).groupBy("vec_id").agg(F.sum(code).cast("bigint").alias("code_sum"), F.count("*").alias("dims"))

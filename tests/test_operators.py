@@ -192,3 +192,10 @@ def test_plaid_search_finds_what_maxsim_ranks_first(spark):
     best = {(r.q, r.d) for r in queries["maxsim"](spark, folder).where("rank <= 5").collect()}
     found = {(r.q, r.d) for r in queries["plaid_search"](spark, folder).collect()}
     assert best and len(found & best) >= 0.9 * len(best)
+
+
+def test_residual_codes_of_all_vectors(spark, tmp_path):
+    made = spark.range(50_010).select(F.col("id").alias("vec_id"), F.array(F.sin("id").cast("float"), F.cos("id").cast("float")).alias("embedding"), (F.col("id") % 3).cast("int").alias("label"))
+    made.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = load_queries()[0]["residual_codes"](spark, str(tmp_path))
+    assert got.count() == got.select("vec_id").distinct().count() == 50_010
