@@ -4,10 +4,10 @@ A record is the sequence of its words; its items are the distinct k-word rolling
 one scope with equal item sets form one class (a copied record never meets its copies one by one).
 
 1. Selection. From the rolling hashes of a class the least are selected, ordered by rarity first (the
-   count of a fixed-size table over all records), then value. Beside the winnowing minima of a sliding
-   window (used for chaining), the p = n - ceil(t n) + m least of the whole record are taken: two
+   count of a fixed-size table over all records), then value: in place of the winnowing minima of a sliding
+   window (used for chaining only), the p = n - ceil(t n) + m least of the whole record are taken: two
    sets of overlap >= t share at least m of those whatever the edits, so the join misses none.
-2. Join of the selected minima across splits within the scope: train classes with evaluation classes
+2. Join of this prefix across splits within the scope: train classes with evaluation classes
    that share m of them (m = SHARED, less only for sets too small to have so many in common).
 3. Collinear chaining of the shared window minima, extension of the chain by alignment (equal words to
    both sides of each anchor), and coverage of both records.
