@@ -1,21 +1,26 @@
 """Problem 4: records of evaluation splits that stand, exactly or almost, in the training split.
 
-A record is the sequence of its words; its items are the distinct k-word rolling hashes. Records of
-one scope with equal item sets form one class (a copied record never meets its copies one by one).
-
-1. Selection. From the rolling hashes of a class the least are selected, ordered by rarity first (the
-   count of a fixed-size table over all records), then value: in place of the winnowing minima of a sliding
-   window (used for chaining only), the p = n - ceil(t n) + m least of the whole record are taken: two
-   sets of overlap >= t share at least m of those whatever the edits, so the join misses none.
-2. Join of this prefix across splits within the scope: train classes with evaluation classes
-   that share m of them (m = SHARED, less only for sets too small to have so many in common).
-3. Collinear chaining of the shared window minima, extension of the chain by alignment (equal words to
-   both sides of each anchor), and coverage of both records.
-4. The exact overlap of the item sets decides.
+A record is the sequence of its words; its items are the k-word rolling hashes, tied to the record's scope. Records
+of one scope with equal item sets form one class: classes are compared, and copies follow as members.
+
+1. Fingerprints by winnowing: of every WINDOW consecutive rolling hashes the least is selected, the rarest first
+   (by a fixed-size table of counts over all classes), then by value.
+2. The fingerprints of train classes are joined with those of evaluation classes; two classes that share enough of
+   them (half of what an overlap at the threshold lets expect) are candidates.
+3. Supplement. The overlap of sets says nothing of order, so a pair of reordered or evenly edited records may share
+   no window. Therefore a class also joins by the p = n - ceil(t n) + m rarest of all its items: two sets of
+   overlap >= t share at least m of those, whatever the edits, so no pair is missed. Fingerprints more common than
+   COMMON times the mean are left to this selection.
+4. The exact overlap decides which candidates are links.
+5. Links are chained: shared fingerprints in collinear order, extended by alignment (equal words to both sides of
+   each), give the coverage of both records.
+
+Result: classes, their members, and links between classes; `cross_split_overlaps` expands them to pairs of rows.
+Hot fingerprints, hot classes and classes with very many links are dealt into blocks (`split_join`).
 
 Defined results: a NULL or unknown split belongs to neither side; NULL or blank text, or fewer than k
 words, gives no item and no pair; a NULL scope equals no other; every pair of rows that qualifies is
-given once, smaller key first.
+given once.
 """
 
 from __future__ import annotations
@@ -32,12 +37,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerforge.llm.pairs import attach_both, bucket_of, rarity_table
-from answerforge.llm.words import batch_hashes, chunks, mix, rolling, shingle_sets
+from answerforge.llm.pairs import BLOCK, attach_both, bucket_of, rarity_table, split_join
+from answerforge.llm.words import batch_hashes, chunks, mix, rolling
 from answerforge.session import join_hot_cold, materialize
 
 WINDOW = 8
 SHARED = 4
+COMMON = 16
 #: Split names, lower-cased and without other signs.
 TRAIN, EVALUATION = ("train", "training"), ("dev", "test", "validation", "valid", "val", "eval", "evaluation")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -55,67 +61,88 @@ def canonical_id(name: str | None) -> str | None:
     return None if name is None else _SIGNS.sub("_", unicodedata.normalize("NFKC", unquote(name)).casefold()).strip("_")
 
 
-def _rolled(k: int, text_at: int):
-    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        texts = batch.column(text_at).to_pylist()
-        for _, part in chunks(texts, texts):
-            yield shingle_sets(*batch_hashes(part), k)[0]
-
-    return run
-
-
-def _classify(k: int):
-    """key, scope, text -> key, scope hash, set hashes, number of items, word hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            keys, scopes, texts = (batch.column(i).to_pylist() for i in range(3))
-            rows = []
-            for part, some in chunks(list(zip(keys, scopes)), texts):
-                hashes, counts = batch_hashes(some)
-                bounds = np.cumsum(np.append(0, counts))
-                rows += [(*part[i], hashes[bounds[i] : bounds[i + 1]]) for i in range(len(part))]
-            for key, scope, words in rows:
-                items = np.unique(rolling(words, k))
-                if scope is None or not len(items):
+def _items(words: np.ndarray, k: int, scope: int) -> np.ndarray:
+    """Rolling hashes of a record's words (32 bits each) in text order, tied to its scope."""
+    with np.errstate(over="ignore"):
+        return mix(rolling(words.astype(np.uint64), k) ^ np.uint64(scope))
+
+
+def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, scope, text, side, k, t -> key, side, k, t, scope hash, set hashes, number of items, word hashes."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(9)]
+        rows = list(zip(*(batch.column(i).to_pylist() for i in range(6))))
+        rows = [r for r in rows if r[1] is not None]
+        for part, some in chunks(rows, [r[2] for r in rows]):
+            hashes, counts = batch_hashes(some)
+            hashes = (hashes >> np.uint64(32)).astype("<u4")
+            bounds = np.cumsum(np.append(0, counts))
+            for i, (key, scope, _, side, k, t) in enumerate(part):
+                words = hashes[bounds[i] : bounds[i + 1]]
+                tie = xxhash.xxh3_64_intdigest(canonical_id(scope))
+                items = np.unique(_items(words, k, tie))
+                if not len(items):
                     continue
                 with np.errstate(over="ignore"):
                     h1, h2 = np.add.reduce(mix(items)), np.add.reduce(mix(items ^ _GOLD))
-                for col, x in zip(out, (key, xxhash.xxh3_64_intdigest(canonical_id(scope)) - 2**63, int(h1) - 2**63, int(h2) - 2**63, len(items), words.tobytes())):
+                for col, x in zip(out, (key, side, k, t, tie - 2**63, int(h1) - 2**63, int(h2) - 2**63, len(items), words.tobytes())):
                     col.append(x)
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["key", "scope", "h1", "h2", "n", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _RECORD)], schema=_RECORD)
 
-    return run
+
+_RECORD = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("k", pa.int32()), ("t", pa.float64()), ("scope", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("words", pa.binary())])
+RECORD = "key bigint, side int, k int, t double, scope bigint, h1 bigint, h2 bigint, n int, words binary"
 
 
-def _selected(k: int, threshold: float, rarity: np.ndarray):
-    """The seeds of each class: its p least items in (rarity, value) order."""
+def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names))
+
+
+def _all_items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for k, scope, raw in _columns(batch, "k", "scope", "words"):
+        yield np.unique(_items(np.frombuffer(raw, "<u4"), k, scope + 2**63))
+
+
+def _selected(rarity: np.ndarray):
+    """The seeds of each class: fingerprints of its windows (kind 1) and of the supplement (2), or both (3)."""
+    common = COMMON * (1 + int(rarity.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, seeds = [], []
-            names = batch.schema.names
-            for key, raw in zip(batch.column(names.index("key")).to_pylist(), batch.column(names.index("words")).to_pylist()):
-                items = np.unique(rolling(np.frombuffer(raw, np.uint64), k))
-                common = math.ceil(threshold * len(items) - 1e-9)
-                p = len(items) - common + min(SHARED, common)
-                best = np.lexsort((items, rarity[bucket_of(items)]))[:p]
-                chosen = items[best]
-                chosen = chosen[rarity[bucket_of(chosen)] > 1]  # what occurs once joins nothing
-                keys.append(np.full(len(chosen), key, np.int64))
-                seeds.append(chosen.view(np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(seeds))], names=["key", "seed"])
+            cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+            for key, k, t, scope, raw, train, held in _columns(batch, "key", "k", "t", "scope", "words", "train_rows", "eval_rows"):
+                seq = _items(np.frombuffer(raw, "<u4"), k, scope + 2**63)
+                items = np.unique(seq)
+                often = rarity[bucket_of(items)]
+                share = math.ceil(t * len(items) - 1e-9)
+                kind = np.zeros(len(items), np.int8)
+                kind[np.lexsort((items, often))[: len(items) - share + min(SHARED, share)]] = 2
+                prints = np.searchsorted(items, seq[winnow(seq, WINDOW, rarity)])
+                prints = np.unique(prints[often[prints] <= common])
+                kind[prints] |= 1
+                good = np.flatnonzero((kind > 0) & (often > 1))  # what occurs once joins nothing
+                if len(good):
+                    m = len(good)
+                    for c, x in zip(cols, (np.full(m, key), np.full(m, len(items), np.int32), np.full(m, t), np.full(m, len(prints), np.int32), np.full(m, train > 0), np.full(m, held > 0), items[good].view(np.int64), kind[good])):
+                        c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "n", "t", "prints", "has_train", "has_eval", "seed", "kind"])
 
     return run
 
 
-def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the minima of every window of consecutive hashes (rightmost of equal ones)."""
+def winnow(hashes: np.ndarray, window: int = WINDOW, rarity: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the minima of every window of consecutive hashes (rightmost of equal ones), rare ones first if
+    counts are given."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    if rarity is not None:
+        distinct, at = np.unique(hashes, return_inverse=True)
+        rank = np.empty(len(distinct), np.int64)
+        rank[np.lexsort((distinct, rarity[bucket_of(distinct)]))] = np.arange(len(distinct))
+        hashes = rank[at]
     if len(hashes) <= window:
-        return np.array([len(hashes) - 1 - int(hashes[::-1].argmin())]) if len(hashes) else np.zeros(0, np.int64)
+        return np.array([len(hashes) - 1 - int(hashes[::-1].argmin())])
     views = np.lib.stride_tricks.sliding_window_view(hashes[::-1], window)
     at = np.arange(len(views)) + views.argmin(1)
     return np.unique(len(hashes) - 1 - at)
@@ -142,13 +169,13 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def coverage(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, float]:
-    """Shares of the words of both covered by the chained anchors and their extension over equal words."""
-    ha, hb = rolling(a, k), rolling(b, k)
+def coverage(a: np.ndarray, b: np.ndarray, k: int, scope: int = 0, rarity: np.ndarray | None = None) -> tuple[float, float]:
+    """Shares of the words of both covered by the chained fingerprints and their extension over equal words."""
+    ha, hb = _items(a, k, scope), _items(b, k, scope)
     at_b: dict[int, list[int]] = {}
-    for j in winnow(hb):
+    for j in winnow(hb, WINDOW, rarity):
         at_b.setdefault(int(hb[j]), []).append(int(j))
-    anchors = [(int(i), j) for i in winnow(ha) for j in at_b.get(int(ha[i]), ())]
+    anchors = [(int(i), j) for i in winnow(ha, WINDOW, rarity) for j in at_b.get(int(ha[i]), ())]
     in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     for i, j in chain(anchors):
         if in_a[i] and in_b[j]:
@@ -164,52 +191,99 @@ def coverage(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, float]:
     return float(in_a.mean()), float(in_b.mean())
 
 
-def _verify(k: int, threshold: float):
+def _overlaps(batch: pa.RecordBatch) -> tuple[list[tuple], np.ndarray]:
+    """(words, words, k, scope) of each pair of the batch, and the exact overlap of its item sets."""
+    pairs, values, owners, sizes = [], [], [], np.zeros((batch.num_rows, 2), np.int64)
+    for i, (left, right, k, scope) in enumerate(_columns(batch, "left", "right", "k", "scope")):
+        both = np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4")
+        pairs.append((*both, k, scope + 2**63))
+        for side, words in enumerate(both):
+            items = np.unique(rolling(words.astype(np.uint64), k))
+            sizes[i, side] = len(items)
+            values.append(items)
+            owners.append(np.full(len(items), i))
+    if not pairs:
+        return [], np.zeros(0)
+    v, o = np.concatenate(values), np.concatenate(owners)
+    order = np.lexsort((v, o))
+    v, o = v[order], o[order]
+    both = np.bincount(o[1:][(v[1:] == v[:-1]) & (o[1:] == o[:-1])], minlength=len(pairs))
+    return pairs, both / np.maximum(sizes.sum(1) - both, 1)
+
+
+def _linked(rarity: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pairs, overlap = _overlaps(batch)
             rows = []
-            for a, b, left, right in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                sx, sy = np.unique(rolling(x, k)), np.unique(rolling(y, k))
-                both = len(np.intersect1d(sx, sy, assume_unique=True))
-                union = len(sx) + len(sy) - both
-                if both >= threshold * union - 1e-9:
-                    rows.append((a, b, both / union, *coverage(x, y, k)))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64()] + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["a", "b", "overlap", "cover_a", "cover_b"])
+            for i, (a, b, t, prints) in enumerate(_columns(batch, "a", "b", "t", "shared_prints")):
+                if overlap[i] >= t - 1e-9:
+                    rows.append((a, b, float(overlap[i]), *coverage(*pairs[i], rarity), prints))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _LINK)], schema=_LINK)
 
     return run
 
 
-def cross_split_overlaps(df: DataFrame, key: str, scope: Column, text: str, split: str, k: int, threshold: float) -> DataFrame:
+_LINK = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("overlap", pa.float64()), ("train_cover", pa.float64()), ("eval_cover", pa.float64()), ("shared_prints", pa.int64())])
+LINK = "c1 bigint, c2 bigint, overlap double, train_cover double, eval_cover double, shared_prints bigint"
+
+
+def split_records(df: DataFrame, key: str, scope: Column, text: str, split: str, k: int, threshold: float) -> DataFrame:
+    """Records of one table in the common form; several such tables may be joined by union before `overlap_classes`
+    if their keys differ and no scope of one is a scope of another."""
+    base = df.select(F.col(key).cast("bigint").alias("key"), scope.cast("string").alias("scope"), F.col(text).alias("text"), split_side(F.col(split)).alias("side"))
+    return base.where("key is not null and side is not null and text is not null").withColumns({"k": F.lit(k), "t": F.lit(float(threshold))})
+
+
+def overlap_classes(records: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, members, links) of the records of `split_records`. classes: cls, train_rows, eval_rows. members: key,
+    side, cls. links: c1 (has training rows), c2 (has evaluation rows), overlap, train_cover, eval_cover, shared_prints
+    (fingerprints in common); a class with rows of both sides is linked with itself."""
+    rows = materialize(records.select("key", "scope", "text", "side", "k", "t").mapInArrow(_classify, RECORD), "records")
+    same = ["h1", "h2"]
+    held = F.sum("side").alias("eval_rows")
+    groups = materialize(rows.groupBy(*same).agg(F.min("key").alias("cls"), F.count(F.lit(1)).alias("rows"), held).where("rows > 1"), "groups")
+    total = rows.count()
+    copies = materialize(join_hot_cold(rows.select("key", "side", *same), groups.select(*same, "cls", "rows"), same, "rows", total).select("key", "side", "cls"), "copies")
+    alone = rows.select("key", "side").join(copies.select("key"), "key", "left_anti").withColumn("cls", F.col("key"))
+    members = copies.unionByName(alone)
+    led = groups.select(F.col("cls").alias("key"), (F.col("rows") - F.col("eval_rows")).alias("train_rows"), "eval_rows")
+    followers = copies.where("key <> cls").select("key")
+    first = rows.join(followers, "key", "left_anti").join(led, "key", "left")
+    counted = {"train_rows": F.coalesce("train_rows", (1 - F.col("side")).cast("bigint")), "eval_rows": F.coalesce("eval_rows", F.col("side").cast("bigint"))}
+    reps = materialize(first.withColumns(counted).drop("h1", "h2", "side"), "reps")
+    rarity = rarity_table(reps.select("k", "scope", "words"), _all_items)
+    seeds = materialize(reps.mapInArrow(_selected(rarity), "key bigint, n int, t double, prints int, has_train boolean, has_eval boolean, seed bigint, kind tinyint"), "seeds")
+    train = seeds.where("has_train").select("seed", F.col("key").alias("c1"), F.col("n").alias("n1"), F.col("prints").alias("w1"), F.col("kind").alias("k1"), "t")
+    held = seeds.where("has_eval").select("seed", F.col("key").alias("c2"), F.col("n").alias("n2"), F.col("prints").alias("w2"), F.col("kind").alias("k2"))
+    least = F.least("n1", "n2")
+    near = least >= F.col("t") * F.greatest("n1", "n2") - F.lit(1e-9)
+    both = F.col("k1").bitwiseAND(F.col("k2"))
+    must = F.least(F.lit(SHARED), F.ceil(F.col("t") * least - F.lit(1e-9)))
+    enough = F.greatest(F.lit(1), F.ceil(F.col("t") / 2 * F.least("w1", "w2")))
+    met = split_join(train, held, ["seed"], block).where((F.col("c1") != F.col("c2")) & near).groupBy("c1", "c2").agg(
+        F.sum(F.shiftright(both, 1).cast("bigint")).alias("shared"), F.sum(both.bitwiseAND(F.lit(1)).cast("bigint")).alias("shared_prints"), F.first(must).alias("must"), F.first(enough).alias("enough")
+    )
+    pairs = materialize(met.where("shared >= must or shared_prints >= enough").select(F.col("c1").alias("a"), F.col("c2").alias("b"), "shared_prints"), "pairs")
+    payload = reps.select("key", F.struct("words", "k", "t", "scope").alias("items"))
+    attached = attach_both(pairs, payload, block).select("a", "b", "shared_prints", F.col("left.words").alias("left"), F.col("right.words").alias("right"), "left.k", "left.t", "left.scope")
+    links = materialize(attached.mapInArrow(_linked(rarity), LINK), "links")
+    one = F.lit(1.0)
+    within = reps.where("train_rows > 0 and eval_rows > 0").select(F.col("key").alias("c1"), F.col("key").alias("c2"), one.alias("overlap"), one.alias("train_cover"), one.alias("eval_cover"), F.lit(1).cast("bigint").alias("shared_prints"))
+    return reps.select(F.col("key").alias("cls"), "train_rows", "eval_rows"), materialize(members, "members"), links.unionByName(within)
+
+
+def overlapping_rows(members: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(train_key, eval_key, overlap, train_cover, eval_cover) of every pair of rows of linked classes."""
+    trains = members.where("side = 0").select(F.col("cls").alias("c1"), F.col("key").alias("train_key"))
+    helds = members.where("side = 1").select(F.col("cls").alias("c2"), F.col("key").alias("eval_key"))
+    left = materialize(split_join(links.drop("shared_prints"), trains, ["c1"], block).drop("c1"), "left")
+    return split_join(left, helds, ["c2"], block).select("train_key", "eval_key", "overlap", "train_cover", "eval_cover")
+
+
+def cross_split_overlaps(df: DataFrame, key: str, scope: Column, text: str, split: str, k: int, threshold: float, block: int = BLOCK) -> DataFrame:
     """(train_key, eval_key, overlap, train_cover, eval_cover) of every pair of a training and an evaluation
     row of one scope whose sets of k-word sequences overlap by at least the threshold."""
-    base = df.select(F.col(key).cast("bigint").alias("key"), scope.cast("string").alias("scope"), F.col(text).alias("text"), split_side(F.col(split)).alias("side")).where("key is not null and side is not null and text is not null")
-    rows = materialize(base.select("key", "scope", "text").mapInArrow(_classify(k), "key bigint, scope bigint, h1 bigint, h2 bigint, n int, words binary"), "records")
-    sides = base.select("key", "side")
-    members = materialize(rows.select("key", "scope", "h1", "h2").join(sides, "key"), "members")
-    same = ["scope", "h1", "h2"]
-    classes = materialize(members.groupBy(*same).agg(F.min("key").alias("cls"), F.max("side").alias("has_eval"), F.min("side").alias("no_train"), F.count("*").alias("rows")), "classes")
-    reps = rows.join(classes.select(F.col("cls").alias("key"), "has_eval", "no_train"), "key")
-    rarity = rarity_table(base.select("key", "scope", "text"), _rolled(k, 2))
-    seeds = materialize(reps.select("key", "words").mapInArrow(_selected(k, threshold, rarity), "key bigint, seed bigint"), "seeds")
-    tagged = seeds.join(reps.select("key", "scope", "n", "has_eval", "no_train"), "key")
-    train = tagged.where("no_train = 0").select("scope", "seed", F.col("key").alias("c1"), F.col("n").alias("n1"))
-    held = tagged.where("has_eval = 1").select("scope", "seed", F.col("key").alias("c2"), F.col("n").alias("n2"))
-    near = F.least("n1", "n2") >= F.lit(threshold) * F.greatest("n1", "n2") - F.lit(1e-9)
-    must = F.least(F.lit(SHARED), F.ceil(F.lit(threshold) * F.least("n1", "n2") - F.lit(1e-9)))
-    met = train.join(held, ["scope", "seed"]).where((F.col("c1") != F.col("c2")) & near).groupBy("c1", "c2").agg(F.count("*").alias("shared"), F.min(must).alias("must")).where("shared >= must")
-    pairs = materialize(met.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), "pairs")
-    found = attach_both(pairs, rows.select("key", F.col("words").alias("items"))).mapInArrow(_verify(k, threshold), "a bigint, b bigint, overlap double, cover_a double, cover_b double")
-    links = materialize(found, "links")
-    one = F.lit(1.0)
-    directed = links.select(F.col("a").alias("c1"), F.col("b").alias("c2"), "overlap", F.col("cover_a").alias("train_cover"), F.col("cover_b").alias("eval_cover"))
-    back = links.select(F.col("b").alias("c1"), F.col("a").alias("c2"), "overlap", F.col("cover_b").alias("train_cover"), F.col("cover_a").alias("eval_cover"))
-    self_pairs = classes.where("has_eval = 1 and no_train = 0").select(F.col("cls").alias("c1"), F.col("cls").alias("c2"), one.alias("overlap"), one.alias("train_cover"), one.alias("eval_cover"))
-    total = members.count()
-    owned = materialize(join_hot_cold(members, classes.select(*same, "cls", "rows"), same, "rows", total).select("cls", "key", "side"), "owned")
-    trains = owned.where("side = 0").select(F.col("cls").alias("c1"), F.col("key").alias("train_key"))
-    helds = owned.where("side = 1").select(F.col("cls").alias("c2"), F.col("key").alias("eval_key"))
-    out = directed.unionByName(back).unionByName(self_pairs).join(trains, "c1").join(helds, "c2")
-    return out.select("train_key", "eval_key", "overlap", "train_cover", "eval_cover")
+    _, members, links = overlap_classes(split_records(df, key, scope, text, split, k, threshold), block)
+    return overlapping_rows(members, links, block)

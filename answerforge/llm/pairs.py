@@ -1,4 +1,4 @@
-"""Shared by the operators on pairs: bounded rarity tables, and joining both sides' payloads to pairs."""
+"""Shared by the operators on pairs: bounded rarity tables, and joins whose hot keys are dealt into cells."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerforge.session import hot_keys, materialize
+from answerforge.session import materialize
 
-SALTS = 16
+#: Rows of one key that a task gets at most, about, from either side of a split join.
+BLOCK = 4096
 #: Size of a rarity table, fixed whatever the corpus: 2^18 counters, 2 MB.
 RARITY_BITS = 18
 
@@ -46,19 +47,42 @@ def _counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(bucket_of(hashes), return_counts=True)
 
 
-def attach_both(pairs: DataFrame, payload: DataFrame) -> DataFrame:
-    """(a, b, left, right) from pairs (a, b) and payload (key, items). A key with very many pairs as `a`
-    is salted: at most HOT_PARTS such keys exist, so repeating their payload SALTS times is bounded."""
-    total = pairs.count()
-    hot = materialize(hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "n", total).select("a", F.lit(True).alias("hot")), "pivots")
-    left, right = payload.alias("l"), payload.alias("r")
-    if hot.isEmpty():  # both sides are the same exchange of the payload, done once
-        met = pairs.select("a", "b").join(right, F.col("b") == F.col("r.key")).join(left, F.col("a") == F.col("l.key"))
-        return met.select("a", "b", F.col("l.items").alias("left"), F.col("r.items").alias("right"))
-    hot = F.broadcast(hot)
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    marked = pairs.select("a", "b").join(hot, "a", "left").withColumn("salt", salt).drop("hot")
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = payload.select(F.col("key").alias("a"), F.col("items").alias("left")).join(hot, "a", "left").withColumn("salt", F.explode(salts)).drop("hot")
-    right = payload.select(F.col("key").alias("b"), F.col("items").alias("right"))
-    return marked.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "left", "right")
+def _blocks(df: DataFrame, on: list[str], out: str, block: int) -> DataFrame:
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*on, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias(out))
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], block: int = BLOCK, unique_right: bool = False) -> DataFrame:
+    """Inner join on NULL-free keys in which no task gets a hot key whole: the rows of a key with more than `block`
+    rows on a side are dealt by hash into blocks of about that many, the other side's blocks are repeated for each,
+    and every cell is joined for itself. Rows repeated are in proportion to the rows of the result over `block`.
+    Both sides are read twice, so they should be written tables or scans. No row is lost or capped."""
+    big = _blocks(left, on, "_bl", block)
+    if unique_right:
+        big = big.withColumn("_br", F.lit(1))
+    else:
+        big = big.join(_blocks(right, on, "_br", block), on, "full").fillna(1, ["_bl", "_br"])
+    big = materialize(big, "big")
+    if big.isEmpty():
+        return left.join(right, on)
+    own = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    dealt_left = left.join(big, on, "left").withColumn("_i", own(left, "_bl")).withColumn("_j", every("_br")).drop("_bl", "_br")
+    dealt_right = right.join(big, on, "left").withColumn("_j", own(right, "_br")).withColumn("_i", every("_bl")).drop("_bl", "_br")
+    return dealt_left.join(dealt_right, [*on, "_i", "_j"]).drop("_i", "_j")
+
+
+def attach_both(pairs: DataFrame, payload: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, left, right, other columns of pairs) from pairs (a, b, ..) and payload (key, items). A key with very many
+    pairs, on either side, is dealt into blocks, for each of which its payload is repeated."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    as_b = payload.select(F.col("key").alias("b"), F.col("items").alias("right"))
+    as_a = payload.select(F.col("key").alias("a"), F.col("items").alias("left"))
+    big_a = materialize(_blocks(pairs, ["a"], "_bl", block), "pivots")
+    if big_a.isEmpty():
+        met = split_join(pairs, as_b, ["b"], block, True).join(as_a, "a")
+    else:
+        salt = F.pmod(F.xxhash64("a", "b"), F.coalesce(F.col("_bl"), F.lit(1))).cast("int")
+        dealt = as_a.join(big_a, "a", "left").withColumn("_cell", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_bl"), F.lit(1)) - 1))).drop("_bl")
+        marked = pairs.join(big_a, "a", "left").withColumn("_cell", salt).drop("_bl")
+        met = split_join(marked, as_b, ["b"], block, True).join(dealt, ["a", "_cell"])
+    return met.select("a", "b", "left", "right", *rest)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerforge.session import spread, table
+from answerforge.session import materialize, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,16 +45,23 @@ def _overlap_sql(name: str, source: str, k: int, threshold: float) -> str:
 {name}_s as (select key, scope, side, {_grams("ws", k)} as g from {name}_w where len(ws) >= {k}),
 {name}_e as (select key, scope, side, len(g) as n, unnest(g) as x from {name}_s),
 {name}_p as (select a.key as t, b.key as e, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from {name}_e a join {name}_e b on a.scope = b.scope and a.x = b.x where a.side = 'train' and b.side = 'eval' group by 1, 2),
-{name} as (select least(t, e) as qa_key_a, greatest(t, e) as qa_key_b from {name}_p where c >= {threshold} * (na + nb - c) - 1e-9)"""
+{name} as (select least(t, e) as qa_key_a, greatest(t, e) as qa_key_b, e, c / (na + nb - c) as overlap from {name}_p where c >= {threshold} * (na + nb - c) - 1e-9)"""
 
 
 SIDE = "case regexp_replace(lower(split), '[^a-z]+', '', 'g') when 'train' then 'train' when 'dev' then 'eval' when 'test' then 'eval' when 'validation' then 'eval' end as side"
-OVERLAP_SQL = (
+_OVERLAP_WITH = (
     "with "
     + _overlap_sql("h", f"select qa_key as key, trim(regexp_replace(lower(nfc_normalize(url_decode(table_id))), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') as scope, question as body, {SIDE} from hybrid_questions", 1, 0.7)
     + ", "
     + _overlap_sql("c", f"select qa_key as key, 'all' as scope, context as body, {SIDE} from squad_examples", 3, 0.6)
-    + " select * from h union all select * from c"
+)
+OVERLAP_SQL = _OVERLAP_WITH + " select qa_key_a, qa_key_b from h union all select qa_key_a, qa_key_b from c"
+OVERLAP_REPORT_SQL = (
+    _OVERLAP_WITH
+    + """, best as (select e, count(*) as n, max(overlap) as overlap from (select e, overlap from h union all select e, overlap from c) group by e),
+about as (select qa_key, 'hybrid_questions' as table_name, split, source from hybrid_questions union all select qa_key, 'squad_examples', split, source from squad_examples)
+select table_name, regexp_replace(lower(split), '[^a-z]+', '', 'g') as eval_split, lower(trim(source)) as eval_source, sum(n)::bigint as pairs, count(*) as eval_records, count(*) filter (overlap = 1) as exact_records, round(avg(overlap), 4) as mean_overlap
+from best join about on qa_key = e group by 1, 2, 3"""
 )
 LEAK_SQL = f"""with d as (select doc_id, {WS.format(c="text")} as ws from documents where text is not null), i as (select item_id, {WS.format(c="text")} as ws from benchmark_items where text is not null),
 dg as (select doc_id, unnest({_grams("ws", 12)}) as g from d where len(ws) >= 12), ig as (select item_id, unnest({_grams("ws", 12)}) as g from i where len(ws) >= 12)
@@ -114,30 +121,44 @@ def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d, 1)
 
 
-def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    from answerforge.llm.crosssplit import cross_split_overlaps
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping rows of both tables in one run: their keys differ, and the scopes by their first word."""
+    from answerforge.llm.crosssplit import overlap_classes, overlapping_rows, split_records
 
-    questions = cross_split_overlaps(table(spark, d, "hybrid_questions"), "qa_key", F.col("table_id"), "question", "split", 1, 0.7)
-    contexts = cross_split_overlaps(table(spark, d, "squad_examples"), "qa_key", F.lit("all"), "context", "split", 3, 0.6)
-    return questions, contexts
+    questions = split_records(table(spark, d, "hybrid_questions"), "qa_key", F.concat(F.lit("table "), "table_id"), "question", "split", 1, 0.7)
+    contexts = split_records(table(spark, d, "squad_examples"), "qa_key", F.lit("context"), "context", "split", 3, 0.6)
+    _, members, links = overlap_classes(questions.unionByName(contexts))
+    return overlapping_rows(members, links)
 
 
 @query(OVERLAP_SQL)
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    questions, contexts = _overlaps(spark, d)
-    return questions.unionByName(contexts).select(F.least("train_key", "eval_key").alias("qa_key_a"), F.greatest("train_key", "eval_key").alias("qa_key_b"))
+    return _overlaps(spark, d).select(F.least("train_key", "eval_key").alias("qa_key_a"), F.greatest("train_key", "eval_key").alias("qa_key_b"))
 
 
-@query()
+def _evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation row that stands in training: its pairs, best overlap and best coverage, table, split and source."""
+    found = materialize(_overlaps(spark, d), "overlaps")
+    about = None
+    for name in ("hybrid_questions", "squad_examples"):
+        part = table(spark, d, name).select(F.col("qa_key").alias("eval_key"), F.regexp_replace(F.lower("split"), "[^a-z]+", "").alias("eval_split"), F.lower(F.trim("source")).alias("eval_source"), F.lit(name).alias("table_name"))
+        about = part if about is None else about.unionByName(part)
+    best = found.groupBy("eval_key").agg(F.count("*").alias("n"), F.max("eval_cover").alias("cover"), F.max("overlap").alias("overlap"))
+    return best.join(about, "eval_key")
+
+
+@query(OVERLAP_REPORT_SQL)
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per table, evaluation split and source: pairs, evaluation records concerned, and mean coverage."""
-    out = []
-    for name, found in zip(("hybrid_questions", "squad_examples"), _overlaps(spark, d)):
-        about = table(spark, d, name).select(F.col("qa_key").alias("eval_key"), F.regexp_replace(F.lower("split"), "[^a-z]+", "").alias("eval_split"), F.lower(F.trim("source")).alias("eval_source"))
-        best = found.groupBy("eval_key").agg(F.count("*").alias("n"), F.max("eval_cover").alias("cover"), F.max("overlap").alias("overlap"))
-        per = best.join(about, "eval_key").groupBy("eval_split", "eval_source").agg(F.sum("n").alias("pairs"), F.count("*").alias("eval_records"), F.round(F.avg("cover"), 4).alias("mean_coverage"), F.sum((F.col("overlap") == 1.0).cast("bigint")).alias("exact_records"))
-        out.append(per.withColumn("table_name", F.lit(name)))
-    return out[0].unionByName(out[1])
+    """Per table, evaluation split and source: pairs, evaluation records concerned, exact ones, and the mean of the best overlaps."""
+    return _evaluation_rows(spark, d).groupBy("table_name", "eval_split", "eval_source").agg(
+        F.sum("n").alias("pairs"), F.count("*").alias("eval_records"), F.sum((F.col("overlap") == 1.0).cast("bigint")).alias("exact_records"), F.round(F.avg("overlap"), 4).alias("mean_overlap")
+    )
+
+
+@query()
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation record the share of its words that chained and extended fingerprints cover at best, and its source."""
+    return _evaluation_rows(spark, d).select("eval_key", "table_name", "eval_source", F.round("cover", 4).alias("coverage"))
 
 
 @query()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from answerforge.llm import crosssplit, leaks, level, markup, mixing, neardup, topn, tree, words
+from answerforge.llm import crosssplit, leaks, level, markup, mixing, neardup, pairs, topn, tree, words
 
 RNG = random.Random(11)
 VOCABULARY = [f"w{i}" for i in range(400)] + ["Ünïté", "straße", "x_y", "the"]
@@ -163,8 +163,27 @@ def test_runs_reach_the_recall():
 # --- 4: overlaps across splits -------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("k", "threshold"), [(1, 0.7), (3, 0.6)])
-def test_cross_split_against_all_pairs(spark, k, threshold):
+def test_split_join_keeps_all_rows(spark):
+    rng = random.Random(1)
+    left = spark.createDataFrame([(rng.choice([0, 0, 0, 1, 2, 3]), i) for i in range(200)] + [(9, 1000)], "k int, x int")
+    right = spark.createDataFrame([(rng.choice([0, 0, 1, 4, 5]), i) for i in range(100)] + [(9, 1), (9, 1)], "k int, y int")
+    plain = sorted(map(tuple, left.join(right, ["k"]).collect()))
+    for block in (1, 7, 64, 10_000):
+        assert sorted(map(tuple, pairs.split_join(left, right, ["k"], block).collect())) == plain
+    assert pairs.split_join(left.where("false"), right, ["k"], 7).count() == 0
+
+
+def test_attach_both_deals_hot_keys(spark):
+    links = [(a, b, a * b) for a in (1, 2) for b in range(10, 60)] + [(a, 99, 0) for a in range(100, 150)] + [(1, 99, 5)]
+    payload = spark.createDataFrame([(i, f"p{i}") for i in range(200)], "key bigint, items string")
+    df = spark.createDataFrame(links, "a bigint, b bigint, w bigint")
+    for block in (4, 10_000):
+        got = sorted(tuple(r) for r in pairs.attach_both(df, payload, block).collect())
+        assert got == sorted((a, b, f"p{a}", f"p{b}", w) for a, b, w in links)
+
+
+@pytest.mark.parametrize(("k", "threshold", "block"), [(1, 0.7, 4096), (3, 0.6, 4096), (3, 0.6, 3)])
+def test_cross_split_against_all_pairs(spark, k, threshold, block):
     rng = random.Random(k)
     rows = []
     for i in range(120):
@@ -175,7 +194,7 @@ def test_cross_split_against_all_pairs(spark, k, threshold):
     rows += [(len(rows) + j, "other_1", "a b c d", "train" if j % 2 else "test") for j in range(10)]
     rows += [(9000, "other_1", None, "train"), (9001, None, "a b c d", "test"), (9002, "other_1", "", "test"), (9003, "other_1", "a", "train")]
     df = spark.createDataFrame(rows, "key bigint, scope string, text string, split string").withColumn("side", F.lit("x"))
-    got = [(r["train_key"], r["eval_key"]) for r in crosssplit.cross_split_overlaps(df, "key", F.col("scope"), "text", "split", k, threshold).collect()]
+    got = [(r["train_key"], r["eval_key"]) for r in crosssplit.cross_split_overlaps(df, "key", F.col("scope"), "text", "split", k, threshold, block).collect()]
     side = lambda s: {"train": 0, "dev": 1, "test": 1, "validation": 1}.get((s or "").strip().lower())
     items = [(i, crosssplit.canonical_id(c), shingles(t or "", k), side(s)) for i, c, t, s in rows]
     expected = {(a[0], b[0]) for a in items if a[3] == 0 for b in items if b[3] == 1 and a[1] and a[1] == b[1] and a[2] & b[2] and len(a[2] & b[2]) >= threshold * len(a[2] | b[2]) - 1e-9}
@@ -183,6 +202,30 @@ def test_cross_split_against_all_pairs(spark, k, threshold):
     assert crosssplit.cross_split_overlaps(df.where("false"), "key", F.col("scope"), "text", "split", k, threshold).count() == 0
 
 
+def test_classes_hold_copies_once(spark):
+    """A thousand copies on both sides are one class with its counts and members, and no link but its own."""
+    body = text(30, random.Random(3))
+    rows = [(i, "s", body, "train" if i % 4 else "dev") for i in range(1000)] + [(5000, "s", edited(body, 1, random.Random(4)), "dev"), (6000, "s", text(30), "train")]
+    df = spark.createDataFrame(rows, "key bigint, scope string, text string, split string")
+    classes, members, links = crosssplit.overlap_classes(crosssplit.split_records(df, "key", F.col("scope"), "text", "split", 3, 0.6), 16)
+    assert {(r["cls"], r["train_rows"], r["eval_rows"]) for r in classes.collect()} == {(0, 750, 250), (5000, 0, 1), (6000, 1, 0)}
+    assert members.count() == 1002 and {(r["c1"], r["c2"]) for r in links.collect()} == {(0, 0), (0, 5000)}
+    assert crosssplit.overlapping_rows(members, links, 16).count() == 750 * 250 + 750
+
+
+def test_window_minima_find_most_pairs_alone(spark):
+    """Recall of the fingerprints without the supplement, over texts with a few edits."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(150):
+        t = text(60, rng)
+        rows += [(2 * i, "s", t, "train"), (2 * i + 1, "s", edited(t, rng.choice([1, 2, 3]), rng), "test")]
+    df = spark.createDataFrame(rows, "key bigint, scope string, text string, split string")
+    _, _, links = crosssplit.overlap_classes(crosssplit.split_records(df, "key", F.col("scope"), "text", "split", 3, 0.6))
+    found = [r["shared_prints"] for r in links.collect()]
+    assert len(found) == 150 and sum(n > 0 for n in found) >= 0.95 * len(found)
+
+
 def test_chain_and_coverage():
     assert crosssplit.chain([(0, 5), (1, 1), (2, 2), (3, 9), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
     a, _ = words.batch_hashes(["one two three four five six seven eight nine ten eleven twelve"])
