@@ -74,6 +74,16 @@ r as (select a as src, b as dst from l union select r.src, l.b from r join l on
 select min(dst) as key_a, src as key_b from r group by src having min(dst) < src"""
 
 
+_SOURCE = "regexp_replace(lower(trim(source)), '[^\\p{L}\\p{N}]+', '_', 'g')"
+BUDGET_SQL = f"""with w as (select {_SOURCE} as source, target_share, max_repeats from source_weights where source is not null),
+a as (select {_SOURCE} as source, sum(length(text)) as available, count(*) as docs from documents where text <> '' group by 1),
+p as (select source, target_share, max_repeats, coalesce(available, 0) as available, coalesce(docs, 0) as docs from w left join a using (source)),
+live as (select * from p where available > 0 and target_share > 0 and max_repeats > 0), t as (select sum(target_share) as share from live),
+m as (select min(max_repeats * available * (select share from t) / target_share) as total from live)
+select source, available::bigint as available, docs::bigint as docs, round(b, 1) as budget, case when available > 0 then floor(b / available) else 0 end::int as whole_passes
+from (select p.*, case when l.source is null then 0 else (select total from m) * p.target_share / (select share from t) end as b from p left join (select source from live) l using (source))"""
+
+
 def _top(spark: SparkSession, d: str) -> DataFrame:
     from answerforge.llm.topn import top_n_per_group
 
@@ -192,6 +202,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+@query(BUDGET_SQL)
+def p7_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """What each source is to give, sized in characters: the plan that p7_mix makes in tokens."""
+    from answerforge.llm.mixing import canonical_source, source_budgets
+
+    sized = table(spark, d, "documents").where("text is not null and text <> ''").select("doc_id", canonical_source(F.col("source")).alias("source"), F.length("text").cast("bigint").alias("tokens"))
+    budget = source_budgets(sized, table(spark, d, "source_weights"))
+    return budget.where("source <> '(no target)'").select("source", "available", "docs", F.round("budget", 1).alias("budget"), "whole_passes")
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     from answerforge.llm.level import reading_levels
 

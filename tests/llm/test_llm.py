@@ -477,6 +477,66 @@ def test_splitting_tree_keeps_quotas():
     assert max(sizes) - min(sizes) <= 3 and parts == mixing.split_quotas(uses, 5, 3)
 
 
+def test_plan_at_a_hundred_terabytes():
+    """25e12 tokens of 14 sources: blocks far below a shard, no empty shard, every source in every shard."""
+    raw = np.array([30, 20, 12, 9, 7, 5, 4, 3, 3, 2, 2, 1.5, 1, 0.5])
+    budget = {f"s{i:02}": 25e12 * x / raw.sum() for i, x in enumerate(raw)}
+    shards = round(25e12 / mixing.SHARD_TOKENS)
+    assert shards == 500_000
+    blocks = {s: mixing.block_count(int(b), int(b) // 800, b, shards) for s, b in budget.items()}
+    assert all(budget[s] / blocks[s] < mixing.SHARD_TOKENS / 10_000 for s in budget)
+    nodes = mixing.upper_nodes(blocks, shards, 7)
+    assert len(nodes) <= mixing.NODES and sum(n for *_, n in nodes) == shards
+    assert (sum(c for c, *_ in nodes) == [blocks[s] for s in sorted(blocks)]).all()
+    for node in nodes[:: len(nodes) // 5]:
+        quota = mixing.leaf_quotas(*node, 7)
+        assert (quota.sum(0) == node[0]).all() and quota.min() > 0
+        assert quota.sum(1).max() - quota.sum(1).min() <= 20
+
+
+def test_strides_permute():
+    for n in (1, 2, 3, 10, 97, 1000, 4096):
+        a = mixing.step_of(n)
+        assert len({(a * i + 5) % n for i in range(n)}) == n
+    assert mixing.step_of(6 * 10**9) * 6 * 10**9 <= 1 << 62
+
+
+def test_ends_of_parts_against_sorting(spark):
+    rng = random.Random(17)
+    rows = [(i // 3 if i % 50 == 0 else i, rng.choice("abc"), rng.randrange(1, 90), rng.choice([rng.getrandbits(40), 5 << 28, (5 << 28) + 1])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint, place bigint")
+    for share in (0.0, 1e-4, 0.2, 0.5, 0.93, 0.9999):
+        parts = {s: share * sum(r[2] for r in rows if r[1] == s) for s in "ab"}
+        ends = mixing.part_ends(df, parts)
+        for s in "ab":
+            groups = Counter()
+            for i, src, tokens, place in rows:
+                if src == s:
+                    groups[place, i, tokens] += tokens
+            inside, at = set(), 0
+            for g in sorted(groups):
+                if parts[s] > 0 and at + groups[g] / 2 <= parts[s]:
+                    inside.add(g)
+                at += groups[g]
+            assert {g for g in groups if g <= ends.get(s, (-1, 0, 0))} == inside
+
+
+def test_quota_table_covers_every_use_once(spark):
+    uses = {"a": 1001, "b": 70, "c": 5}
+    rows = mixing.quota_table(spark, uses, 13, 3).collect()
+    for s, n in uses.items():
+        spans = sorted((r["lo"], r["hi"]) for r in rows if r["source"] == s)
+        assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    quotas = mixing.split_quotas(uses, 13, 3)
+    assert {(r["source"], r["shard"]): r["hi"] - r["lo"] for r in rows} == {(s, i): q[s] for i, q in enumerate(quotas) for s in q if q[s]}
+
+
+def test_a_tokenizer_that_is_not_there_is_named(spark):
+    df = spark.createDataFrame([(1, "x y", "a")], "doc_id bigint, text string, source string")
+    with pytest.raises(Exception, match="must be readable on every executor"):
+        mixing.token_sizes(df, "doc_id", "text", "source", "/nowhere/vocabulary").collect()
+
+
 def test_mix_reaches_shares_within_caps(spark):
     rng = random.Random(7)
     docs = [(i, text(rng.randrange(20, 60), rng), rng.choice(["Big Source", "big_source", " BIG_SOURCE "])) for i in range(300)]
