@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +97,18 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(parts: Iterator[DataFrame], name: str = "t") -> DataFrame | None:
+    """Like `materialize` for frames of one schema that come one by one: each is written before the next is asked for,
+    and all are read back as one table, so neither memory nor the plan grows with their number. None if there are none."""
+    path = schema = spark = None
+    for df in parts:
+        if path is None:
+            spark, schema = df.sparkSession, df.schema
+            path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+    return None if path is None else spark.read.schema(schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores: for heavy per-row work over a few small files.
     Inputs with enough splits stay as they are, without a shuffle."""
