@@ -1,18 +1,28 @@
 """Problem 6: passages of held-out items inside a large corpus, by q-gram lemma filtering.
 
-Both sides are reduced to their words joined by single spaces. A stretch of at least n characters
-with at most e edits shares at least n + 1 - q(e + 1) q-grams with its source, all inside a band of
-e + 1 neighbouring diagonals (text position minus item position). Here n is the least length of any
-`min_words` consecutive words of any item, so no such passage is missed. Per document the shared
-q-grams are counted in bands of width e + 1 that overlap by half, regions with enough of them are
-kept, and each is verified by alignment in a band of e diagonals around its seeds.
+Both sides are reduced to their words joined by single spaces. A leaked passage is a stretch of an item that aligns with a
+stretch of a document so that its equal words, less PENALTY for each word changed, left out or put in, make at least
+`min_words`: min_words equal words in a row, or a longer stretch of m words with up to (m - min_words) / (PENALTY + 1) edits,
+so the budget grows with the length.
 
-The items are a stated query set: they go to the tasks in blocks of at most BLOCK_ITEMS items and
-BLOCK_CHARS characters, one pass over the corpus per block, so memory is bounded by the block, and
-the corpus is never shuffled.
+1. Lemma. Such a stretch of n characters with e edited words shares at least n + 1 - q - sum(length + q) character
+   q-grams with its source, the sum over the e longest words. The least of these bounds over stretches with up to MOST_EDITS edits
+   is the item's threshold. The shared q-grams lie on diagonals (text position minus item position) that drift by no more than
+   the edits shift the text.
+2. Per document the shared q-grams are counted in bands of BAND diagonals that overlap by half; a stretch
+   that drifts by up to BAND / 2 characters lies in one band whole. Bands that meet the item's threshold are regions.
+3. Every region is verified by alignment of words in its band; the longest run of equal words there is exact.
+
+Items that share text share q-grams: the distinct q-grams of a block of items have one place each, stretches of
+places that the same items hold at the same distances are one segment, and a document's hits are counted by runs over segments:
+an instruction that stands in thousands of items makes one run per document, not one hit per q-gram and item.
+
+The items are a stated query set. They go to the tasks in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters (or
+one item, if longer), one pass over the corpus per block. A block's index is built once, sent by broadcast, and freed when the
+block's results are written, before the next block is read; the corpus is never shuffled.
 
 Defined results: NULL and empty texts hold nothing; an item of fewer than min_words words can't be
-found; equal items are all reported; a document is reported once per item. Columns other than the
+found; equal items are all reported; a document is reported once per item, with its best passage. Columns other than the
 named ones are ignored.
 """
 
@@ -25,12 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerforge.llm.words import chunks, fold, mix
+from answerforge.llm.words import chunks, fold, mix, word_hashes
+from answerforge.session import materialize_all
 
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 40_000_000
-MAX_Q, FILTER_BITS, CELL_BITS = 32, 24, 20
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 4_000_000
+Q, BAND, PENALTY, MOST_EDITS = 10, 64, 3, 8
+#: Rows of runs times items that are held at once.
+EXPANDED = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-OUT = "doc_id bigint, item_id bigint, matched_chars int, edits int, item_share double, run_words int"
+_UNIT = 1 << 16
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_words", pa.int32()), ("edits", pa.int32()), ("item_share", pa.float64()), ("run_words", pa.int32())])
+OUT = "doc_id bigint, item_id bigint, matched_words int, edits int, item_share double, run_words int"
 
 
 def normalise(text: str | None) -> bytes:
@@ -58,160 +73,190 @@ def qgram_hashes(data: np.ndarray, q: int) -> np.ndarray:
     return done
 
 
+def _spread(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, .. for counts[i] values, one after another."""
+    return np.repeat(first - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(int(counts.sum()))
+
+
+class Words:
+    """First characters and hashes of the words of a normalised text."""
+
+    def __init__(self, raw: bytes):
+        self.starts, self.hashes = word_hashes(np.frombuffer(raw + b" ", np.uint8))
+
+
+def least_shared(words: Words, size: int, min_words: int, q: int) -> int:
+    """The q-gram lemma for one item: least number of q-grams that any stretch within the edit budget shares."""
+    edges = np.append(words.starts, size + 1)
+    longest = np.sort(np.diff(edges) - 1)[::-1]
+    lost = np.append(0, np.cumsum(longest + q))
+    bound = size
+    for edits in range(MOST_EDITS + 1):
+        for put_in in (0, 1):
+            m = min_words + (PENALTY + 1) * edits + PENALTY * put_in
+            if m <= len(words.starts) and edits < len(lost):
+                least = int((edges[m:] - edges[:-m]).min()) - 1
+                bound = min(bound, least + 1 - q - int(lost[edits]) - put_in * (q - 1))
+    return max(1, bound)
+
+
 class Index:
-    """q-grams of a block of items: a bit table to pass over most of the corpus, then exact lists."""
+    """q-grams of a block of items: a bit table to pass over most of the corpus, distinct q-grams with their place, and
+    segments of places with the items that hold them."""
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int, edits: int):
-        self.min_words, self.edits, self.items, windows = min_words, edits, [], []
+    def __init__(self, items: list[tuple[int, str]], min_words: int, q: int = Q):
+        self.min_words = min_words
+        keys: dict[bytes, list[int]] = {}
         for key, text in items:
-            w = normalise(text).split()
-            if len(w) >= min_words:
-                self.items.append((key, b" ".join(w)))
-                sizes = np.cumsum([0] + [len(x) + 1 for x in w])
-                windows.append(int((sizes[min_words:] - sizes[:-min_words]).min()) - 1)
-        self.n = min(windows, default=0)
-        # Without edits any q up to n is as selective and a long one has fewest accidental hits; with edits a
-        # short one leaves a bound that only a long shared run reaches.
-        self.q = max(2, min(MAX_Q, self.n) if edits == 0 else min(MAX_Q // 2, self.n // (edits + 1)))
-        self.least = max(1, self.n + 1 - self.q * (edits + 1))
-        self.texts = [t for _, t in self.items]
-        hashes, owner, place = [], [], []
-        for k, t in enumerate(self.texts):
-            h = qgram_hashes(np.frombuffer(t, np.uint8), self.q)
-            hashes.append(h)
-            owner.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order].astype(np.int32)
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order].astype(np.int32)
-        self.bits = np.zeros(1 << FILTER_BITS, bool)
-        self.bits[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        self.grams = [frozenset(zip(*[t.split()[i:] for i in range(min_words)])) for _, t in self.items]
-
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(corpus position, item number, item position) of every shared q-gram."""
+            raw = normalise(text)
+            if raw.count(b" ") + 1 >= min_words:
+                keys.setdefault(raw, []).append(key)
+        self.texts, self.keys = list(keys), list(keys.values())
+        self.words = [Words(t) for t in self.texts]
+        shortest = [int((np.append(w.starts, len(t) + 1)[min_words:] - w.starts[: len(w.starts) - min_words + 1]).min()) - 1 for w, t in zip(self.words, self.texts)]
+        self.q = max(2, min([q, *shortest]))
+        self.least = np.array([least_shared(w, len(t), min_words, self.q) for w, t in zip(self.words, self.texts)], np.int64)
+        base = np.cumsum([0] + [len(t) + 1 for t in self.texts])
+        data = np.frombuffer(b"\n".join(self.texts), np.uint8)
+        grams = qgram_hashes(data, self.q)
+        at = _spread(*(np.array(x, np.int64) for x in ([len(t) - self.q + 1 for t in self.texts], base[:-1]))) if self.texts else np.zeros(0, np.int64)
+        owner = np.searchsorted(base, at, "right") - 1
+        self.hash, first, which = np.unique(grams[at], return_index=True, return_inverse=True)
+        self.place = at[first]
+        place = self.place[which]
+        starts = np.flatnonzero(np.append(True, (np.diff(place) != 1) | (np.diff(owner) != 0))) if len(at) else np.zeros(0, np.int64)
+        size = np.diff(np.append(starts, len(at)))
+        self.cuts = np.unique(np.concatenate([place[starts], place[starts] + size]))
+        lo, hi = np.searchsorted(self.cuts, place[starts]), np.searchsorted(self.cuts, place[starts] + size)
+        segment = _spread(hi - lo, lo)
+        item = np.repeat(owner[starts], hi - lo)
+        shift = np.repeat(at[starts] - base[owner[starts]] - place[starts], hi - lo)
+        order = np.lexsort((shift, item, segment))
+        self.slot, self.shift = segment[order] * max(1, len(self.texts)) + item[order], shift[order]
+        self.bits_log = int(min(26, max(16, np.ceil(np.log2(16 * len(self.hash) + 1)))))
+        self.bits = np.zeros(1 << self.bits_log, bool)
+        self.bits[(self.hash >> np.uint64(64 - self.bits_log)).astype(np.int64)] = True
+
+    def runs(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first position, first place, length, segment) of the runs of shared q-grams in a text."""
         h = qgram_hashes(data, self.q)
-        at = np.flatnonzero(self.bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        lo = np.searchsorted(self.hash, h[at], "left")
-        hi = np.searchsorted(self.hash, h[at], "right")
-        count = hi - lo
-        at, lo, count = at[count > 0], lo[count > 0], count[count > 0]
-        if not len(at):
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        return np.repeat(at, count), self.owner[rows].astype(np.int64), self.place[rows].astype(np.int64)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common prefix."""
-    n, done = min(len(a), len(b)), 0
-    while done < n:
-        step = min(64, n - done)
-        differs = a[done : done + step] != b[done : done + step]
-        if differs.any():
-            return done + int(differs.argmax())
-        done += step
-    return n
-
-
-def reach(a: np.ndarray, b: np.ndarray, edits: int) -> list[int]:
-    """For 0..edits, how far into b an alignment from the start of both gets: furthest-reaching points
-    on the diagonals -edits..edits."""
-    front = {0: _common(a, b)}
-    best = [front[0]]
-    for _ in range(edits):
-        new: dict[int, int] = {}
-        for d, j in front.items():
-            for dd, jj in ((d, j + 1), (d + 1, j), (d - 1, j + 1)):
-                if abs(dd) <= edits and 0 <= jj <= len(b) and 0 <= jj + dd <= len(a):
-                    jj += _common(a[jj + dd :], b[jj:])
-                    new[dd] = max(new.get(dd, -1), jj)
-        front = {**front, **{d: max(j, front.get(d, -1)) for d, j in new.items()}}
-        best.append(max(front.values()))
-    return best
-
-
-def _regions(index: Index, at: np.ndarray, owner: np.ndarray, place: np.ndarray, doc: np.ndarray):
-    """(document, item, positions, item positions) of bands with enough shared q-grams."""
-    width = index.edits + 1
+        at = np.flatnonzero(self.bits[(h >> np.uint64(64 - self.bits_log)).astype(np.int64)])
+        row = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
+        good = self.hash[row] == h[at]
+        at, place = at[good], self.place[row[good]]
+        segment = np.searchsorted(self.cuts, place, "right") - 1
+        new = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(place) != 1) | (np.diff(segment) != 0))) if len(at) else np.zeros(0, np.int64)
+        return at[new], place[new], np.diff(np.append(new, len(at))), segment[new]
+
+    def expanded(self, runs: tuple[np.ndarray, ...], doc: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(document, item, position, item position, length) of all runs, whole documents and items together, at
+        most EXPANDED rows at a time unless one document and item have more."""
+        todo = [(0, len(doc), 0, len(self.texts))]
+        at, place, size, segment = runs
+        while todo:
+            a, b, i, j = todo.pop()
+            lo = np.searchsorted(self.slot, segment[a:b] * len(self.texts) + i)
+            count = np.searchsorted(self.slot, segment[a:b] * len(self.texts) + j) - lo
+            if count.sum() > EXPANDED and (doc[a] != doc[b - 1] or j - i > 1):
+                if doc[a] != doc[b - 1]:
+                    middle = int(np.searchsorted(doc, doc[(a + b) // 2]))
+                    middle = middle if middle > a else int(np.searchsorted(doc, doc[a], "right"))
+                    todo += [(a, middle, i, j), (middle, b, i, j)]
+                else:
+                    todo += [(a, b, i, (i + j) // 2), (a, b, (i + j) // 2, j)]
+                continue
+            rows = _spread(count, lo)
+            if len(rows):
+                again = np.repeat(np.arange(a, b), count)
+                yield doc[again], self.slot[rows] % len(self.texts), at[again], place[again] + self.shift[rows], size[again]
+
+
+def regions(index: Index, doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, item, first diagonal of the band, first position, last position) of bands with enough shared q-grams."""
     diagonal = at - place
-    for half in {0, width // 2}:
-        band = (diagonal + half) // width
-        # Cells too poor even when hashed together can't reach the bound: dropped before sorting.
-        with np.errstate(over="ignore"):
-            cell = (mix((doc * 0x10001 + owner).astype(np.uint64) * _GOLD + band.astype(np.uint64)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-        rich = np.flatnonzero(np.bincount(cell, minlength=1 << CELL_BITS)[cell] >= index.least)
-        order = rich[np.lexsort((at[rich], band[rich], owner[rich], doc[rich]))]
-        if not len(order):
-            continue
-        d, o, b = doc[order], owner[order], band[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (b[1:] != b[:-1])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(order)))
-        for s, n in zip(starts[sizes >= index.least], sizes[sizes >= index.least]):
-            rows = order[s : s + n]
-            yield int(d[s]), int(o[s]), at[rows], place[rows]
+    for half in (0, BAND // 2):
+        band = (diagonal + half) // BAND
+        order = np.lexsort((band, item, doc))
+        d, o, b = doc[order], item[order], band[order]
+        starts = np.flatnonzero(np.append(True, (np.diff(d) != 0) | (np.diff(o) != 0) | (np.diff(b) != 0)))
+        rich = np.add.reduceat(size[order], starts) >= index.least[o[starts]]
+        ends = np.append(starts[1:], len(order))
+        for s, e in zip(starts[rich], ends[rich]):
+            rows = order[s:e]
+            yield int(d[s]), int(o[s]), int(b[s]) * BAND - half, int(at[rows].min()), int((at[rows] + size[rows]).max())
+
+
+def align(text: Words, first: int, last: int, item: Words, low: int, high: int) -> tuple[int, int, int]:
+    """(equal words less penalties, edits, longest run of equal words) of the best local alignment of the text's words
+    first..last - 1 and the item's words on the diagonals low..high."""
+    n = len(item.starts)
+    score, run = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    best = longest = 0
+    cost = PENALTY * _UNIT + 1
+    rows = np.arange(first, last)
+    begin = np.searchsorted(item.starts, text.starts[rows] - high, "left")
+    end = np.searchsorted(item.starts, text.starts[rows] - low, "right")
+    a = b = 0
+    for r, lo, hi in zip(rows, begin, end):
+        same = item.hashes[lo:hi] == text.hashes[r]
+        now = np.maximum(np.maximum(score[lo:hi] + np.where(same, _UNIT, -cost), score[lo + 1 : hi + 1] - cost), 0)
+        gaps = np.arange(len(now)) * cost
+        now = np.maximum.accumulate(now + gaps) - gaps
+        equal = np.where(same, run[lo:hi] + 1, 0)
+        score[a:b] = run[a:b] = 0
+        a, b = lo + 1, hi + 1
+        score[a:b], run[a:b] = now, equal
+        if len(now):
+            best, longest = max(best, int(now.max())), max(longest, int(equal.max()))
+    points = -(-best // _UNIT)
+    return points, points * _UNIT - best, longest
 
 
 def scan(index: Index, keys: list[int], texts: list[str | None]) -> list[tuple]:
     """Rows of OUT for a few documents."""
     raw = [normalise(t) for t in texts]
     starts = np.cumsum([0] + [len(r) + 1 for r in raw])
-    data = np.frombuffer(b"\n".join(raw), np.uint8)
-    at, owner, place = index.hits(data)
-    if not len(at):
+    runs = index.runs(np.frombuffer(b"\n".join(raw), np.uint8))
+    if not len(runs[0]):
         return []
-    doc = np.searchsorted(starts, at, "right") - 1
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for d, o, rows, places in _regions(index, at, owner, place, doc):
-        text, item = np.frombuffer(raw[d], np.uint8), np.frombuffer(index.texts[o], np.uint8)
-        local = rows - starts[d]
-        breaks = np.flatnonzero(np.diff(local, prepend=-2) > 1)
-        covered = -1
-        for k in breaks:
-            i, j = int(local[k]), int(places[k])
-            if i < covered:
-                continue
-            right = reach(text[i:], item[j:], index.edits)
-            left = reach(text[:i][::-1], item[:j][::-1], index.edits)
-            size, spent = max((left[e1] + right[e2], -e1 - e2) for e1 in range(index.edits + 1) for e2 in range(index.edits + 1 - e1))
-            covered = i + right[0]
-            if size >= index.n and (size, spent) > best.get((d, o), (0, 0)):
-                best[d, o] = (size, spent)
-    out, grams = [], {}
-    for (d, o), (size, spent) in best.items():
-        if d not in grams:
-            w = raw[d].split()
-            grams[d] = set(zip(*[w[i:] for i in range(index.min_words)]))
-        run = index.min_words if not grams[d].isdisjoint(index.grams[o]) else 0
-        out.append((keys[d], index.items[o][0], size, -spent, round(size / max(1, len(index.texts[o])), 6), run))
+    doc = np.searchsorted(starts, runs[0], "right") - 1
+    words: dict[int, Words] = {}
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for part in index.expanded((runs[0] - starts[doc], *runs[1:]), doc):
+        for d, o, low, at, end in regions(index, *part):
+            if d not in words:
+                words[d] = Words(raw[d])
+            text = words[d]
+            first, last = np.searchsorted(text.starts, (at - BAND, end + BAND))
+            points, edits, run = align(text, int(first), int(last), index.words[o], low, low + BAND - 1)
+            if points >= index.min_words:
+                old = best.get((d, o), (0, 0, 0))
+                best[d, o] = (*max(old[:2], (points, -edits)), max(old[2], run))
+    out = []
+    for (d, o), (points, spent, run) in sorted(best.items()):
+        equal = points - PENALTY * spent
+        out += [(keys[d], key, equal, -spent, round(equal / len(index.words[o].starts), 6), run) for key in index.keys[o]]
     return out
 
 
-def _scanner(items: list[tuple[int, str]], min_words: int, edits: int):
+def _scanner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
+        index = shared.value
         for batch in batches:
-            index = index or Index(items, min_words, edits)
             rows = []
             for keys, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows += scan(index, keys, texts)
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in OUT.split(", ")])
+            cols = list(zip(*rows)) if rows else [[]] * len(_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
 
     return run
 
 
-def _blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, item_key: str, item_text: str, most: int, chars: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, streamed to the driver one partition at a time."""
     block, size = [], 0
     for key, text in items.select(F.col(item_key).cast("bigint"), item_text).where(f"{item_text} is not null").toLocalIterator():
-        if block and (len(block) >= BLOCK_ITEMS or size + len(text) > BLOCK_CHARS):
+        if block and (len(block) >= most or size + len(text) > chars):
             yield block
             block, size = [], 0
         block.append((key, text))
@@ -220,12 +265,19 @@ def _blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tu
         yield block
 
 
-def leaked_passages(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = 12, edits: int = 1) -> DataFrame:
-    """Rows of OUT: every document with every item of which it holds a stretch as long as min_words words
-    with at most `edits` edits; run_words = min_words where that many consecutive words are equal, else 0."""
+def leaked_passages(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = 12, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of OUT: every document with every item of which it holds a passage, see the module's docstring. run_words is
+    the longest run of equal words among the passages: at least min_words where that many consecutive words are equal."""
     base = docs.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(doc_text).alias("text")).where("text is not null")
-    found = None
-    for block in _blocks(items, item_key, item_text):
-        part = base.mapInArrow(_scanner(block, min_words, edits), OUT)
-        found = part if found is None else found.unionByName(part)
+    context = docs.sparkSession.sparkContext
+
+    def parts() -> Iterator[DataFrame]:
+        for block in _blocks(items, item_key, item_text, block_items, block_chars):
+            index = Index(block, min_words)
+            if index.texts:
+                shared = context.broadcast(index)
+                yield base.mapInArrow(_scanner(shared), OUT)
+                shared.destroy()
+
+    found = materialize_all(parts(), "leaks")
     return docs.sparkSession.createDataFrame([], OUT) if found is None else found

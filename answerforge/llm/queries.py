@@ -114,21 +114,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_edited_texts(spark, d), "key", "text", k=3, threshold=0.5, min_words=20)
 
 
-def _leaks(spark: SparkSession, d: str, edits: int) -> DataFrame:
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
     from answerforge.llm.leaks import leaked_passages
 
-    return leaked_passages(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark_items"), "item_id", "text", min_words=12, edits=edits)
+    return leaked_passages(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark_items"), "item_id", "text", min_words=12)
 
 
 @query(LEAK_SQL)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    # The words must be equal, so the edit budget over normalised text is 0.
-    return _leaks(spark, d, 0).where("run_words >= 12").select("doc_id", "item_id")
+    return _leaks(spark, d).where("run_words >= 12").select("doc_id", "item_id")
 
 
 @query()
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d, 1)
+    return _leaks(spark, d)
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:

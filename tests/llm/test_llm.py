@@ -235,13 +235,24 @@ def test_chain_and_coverage():
     assert len(crosssplit.winnow(np.arange(100, dtype=np.uint64))) == 93
 
 
+def test_window_minima_against_loops():
+    rng = np.random.default_rng(4)
+    sizes = [1, 3, 7, 8, 9, 40, 1, 100]
+    ranks, owner = rng.permutation(sum(sizes)), np.repeat(np.arange(len(sizes)), sizes)
+    expected = set()
+    for o in range(len(sizes)):
+        mine = ranks[owner == o]
+        expected |= {int(mine[i : i + 8].min()) for i in range(max(1, len(mine) - 7))}
+    assert set(crosssplit.window_minima(ranks, owner).tolist()) == expected
+
+
 # --- 6: leaked passages --------------------------------------------------------------------------------
 
 
-def test_leaks_against_word_runs(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 7)
+def test_leaks_against_word_runs(spark):
     rng = random.Random(6)
-    items = [(i, text(40, rng)) for i in range(20)] + [(50, "too short"), (51, None), (52, "")]
+    items = [(i, text(40, rng)) for i in range(20)] + [(50, "too short"), (51, None), (52, ""), (53, "a b c d e f g h i j k l m"), (54, "a b c d e f g h i j k l m")]
+    items += [(60 + i, items[3][1] + " " + text(20, rng)) for i in range(4)]  # they share a text
     docs = []
     for i in range(150):
         t = text(80, rng).split()
@@ -250,32 +261,72 @@ def test_leaks_against_word_runs(spark, monkeypatch):
             n, at = rng.choice([11, 12, 13, 30]), rng.randrange(0, 10)
             t[20:20] = [w.upper() + ";" for w in src[at : at + n]]
         docs.append((i, " ".join(t)))
-    docs += [(900, None), (901, ""), (902, items[0][1] + " " + items[1][1]), (903, text(30_000, rng) + " " + items[2][1])]
+    docs += [(900, None), (901, ""), (902, items[0][1] + " " + items[1][1]), (903, text(30_000, rng) + " " + items[2][1]), (904, "x a b c d e f g h i j k l y")]
     grams = lambda t: set(zip(*[words.words(t)[i:] for i in range(12)]))
     expected = {(d, i) for d, t in docs for i, u in items if grams(t) & grams(u)}
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     q = spark.createDataFrame(items, "item_id bigint, text string")
-    for edits in (0, 1):
-        found = leaks.leaked_passages(d, "doc_id", "text", q, "item_id", "text", 12, edits)
+    for block in (7, 1000):
+        found = leaks.leaked_passages(d, "doc_id", "text", q, "item_id", "text", 12, block)
         got = [(r["doc_id"], r["item_id"]) for r in found.where("run_words >= 12").collect()]
         assert len(got) == len(set(got)) and set(got) == expected
     assert leaks.leaked_passages(d, "doc_id", "text", q.where("false"), "item_id", "text").count() == 0
     assert leaks.leaked_passages(d.where("false"), "doc_id", "text", q, "item_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("every", [6, 8, 12])
+def test_recall_of_leaks_with_spread_edits(every):
+    """Items of 48 words inside documents of 248, a word in every `every` changed, left out or put in; no document
+    without an item is found."""
+    rng = random.Random(every)
+    items = [(i, text(48, rng)) for i in range(100)]
+    index, found, false = leaks.Index(items, 12), 0, 0
+    for i, t in items:
+        ws = t.split()
+        for at in range(len(ws) - 1 - rng.randrange(every), -1, -every):
+            rng.choice([lambda: ws.pop(at), lambda: ws.insert(at, rng.choice(VOCABULARY)), lambda: ws.__setitem__(at, rng.choice(VOCABULARY))])()
+        rows = leaks.scan(index, [i, 1000 + i], [text(100, rng) + " " + " ".join(ws) + " " + text(100, rng), text(248, rng)])
+        found += any(r[:2] == (i, i) for r in rows)
+        false += any(r[0] != r[1] for r in rows)
+    assert found >= 95 and false == 0
+
+
+def test_an_instruction_shared_by_all_items_costs_one_run_a_document():
+    rng = random.Random(9)
+    instruction = "Read the following passage with care, then answer every question below in one short sentence of your own words"
+    items = [(i, instruction + " " + text(30, rng)) for i in range(400)]
+    index = leaks.Index(items, 12)
+    data = np.frombuffer(leaks.normalise(text(50, rng) + " " + instruction + " " + text(50, rng)), np.uint8)
+    at, _, size, _ = index.runs(data)
+    assert size.max() > 90 and len(at) < 60
+    assert {r[1] for r in leaks.scan(index, [1], [instruction])} == set(range(400))
+
+
+def test_expansion_in_parts_changes_nothing(monkeypatch):
+    rng = random.Random(10)
+    instruction = text(20, rng)
+    items = [(i, instruction + " " + text(20, rng)) for i in range(50)]
+    docs = [text(20, rng) + " " + instruction + " " + items[i][1] for i in range(12)]
+    index = leaks.Index(items, 12)
+    whole = sorted(leaks.scan(index, list(range(12)), docs))
+    for most in (1, 40, 300):
+        monkeypatch.setattr(leaks, "EXPANDED", most)
+        assert sorted(leaks.scan(index, list(range(12)), docs)) == whole
+
+
 def test_a_passage_with_one_edit_is_found():
     item = "the quick brown fox jumps over the lazy dog while seventeen green parrots watch from trees"
-    index = leaks.Index([(1, item)], 12, 1)
-    changed = item.replace("lazy", "lxzy")
-    rows = leaks.scan(index, [7], ["Before it. " + changed + " and after"])
-    assert [(r[0], r[1], r[3]) for r in rows] == [(7, 1, 1)] and rows[0][2] >= len(item) - 2
-    assert leaks.scan(leaks.Index([(1, item)], 12, 0), [7], [changed[:50]]) == []
+    index = leaks.Index([(1, item)], 12)
+    rows = leaks.scan(index, [7], ["Before it. " + item.replace("lazy", "lxzy") + " and after"])
+    assert rows == [(7, 1, 15, 1, round(15 / 16, 6), 8)]
+    assert leaks.scan(index, [7], [item[:50]]) == []
 
 
-def test_reach_allows_edits():
-    a, b = (np.frombuffer(x, np.uint8) for x in (b"abcdefgh", b"abXdefgh"))
-    assert leaks.reach(a, b, 0) == [2] and leaks.reach(a, b, 1) == [2, 8]
-    assert leaks.reach(np.frombuffer(b"abdef", np.uint8), np.frombuffer(b"abcdef", np.uint8), 1)[1] == 6
+def test_alignment_counts_words():
+    a, b = leaks.Words(b"one two three four five six seven"), leaks.Words(b"two three x five six")
+    assert leaks.align(a, 0, 7, b, -40, 40) == (2, 0, 2)  # the edit costs more than two words give
+    assert leaks.align(a, 0, 7, a, -40, 40) == (7, 0, 7)
+    assert leaks.align(a, 0, 7, leaks.Words(b"one two three four six seven"), -40, 40)[2] == 4
 
 
 # --- 1: markup -----------------------------------------------------------------------------------------
