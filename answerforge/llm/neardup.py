@@ -133,15 +133,15 @@ def _pair_rows(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray
         return _rows(mix(mix(lo.view(np.uint64)) * _GOLD + hi.view(np.uint64)), lo, hi, PAIR)
 
 
-def _spread(paths: np.ndarray, keys: np.ndarray, sig: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Path rows of one batch's sets. Of a bucket with more than SMALL of them the least set alone goes to the
+def _spread(paths: np.ndarray, keys: np.ndarray, sig: np.ndarray, rows: np.ndarray, small: int) -> Iterator[pa.RecordBatch]:
+    """Path rows of one batch's sets. Of a bucket with more than `small` of them the least set alone goes to the
     bucket, marked crowded; the others are paired with it and are GOING down whatever the bucket holds."""
     order = np.lexsort((keys[rows], paths))
     paths, rows = paths[order], rows[order]
     check = _check_bytes(paths, sig, rows)
     first = np.flatnonzero(np.append(True, paths[1:] != paths[:-1]))
     size = np.diff(np.append(first, len(paths)))
-    full = np.repeat(size > SMALL, size)
+    full = np.repeat(size > small, size)
     head = np.zeros(len(paths), bool)
     head[first] = True
     rest = full & ~head
@@ -152,7 +152,7 @@ def _spread(paths: np.ndarray, keys: np.ndarray, sig: np.ndarray, rows: np.ndarr
         yield _rows(paths[rest], keys[rows[rest]], check[rest], GOING)
 
 
-def _start_paths(runs: range, depth: int):
+def _start_paths(runs: range, depth: int, small: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -163,18 +163,18 @@ def _start_paths(runs: range, depth: int):
                 paths = np.full(len(keys), mix(np.array([r + 1], np.uint64))[0], np.uint64)
                 for _ in range(depth):
                     paths, rows = _descend(paths, sig, rows)
-                yield from _spread(paths, keys, sig, rows)
+                yield from _spread(paths, keys, sig, rows, small)
 
     return run
 
 
-def _next_paths():
+def _next_paths(small: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys, paths, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), _signatures(batch.column(2))
                 paths, rows = _descend(paths, sig, np.arange(len(keys)))
-                yield from _spread(paths, keys, sig, rows)
+                yield from _spread(paths, keys, sig, rows, small)
 
     return run
 
@@ -184,7 +184,11 @@ def _then_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walker(small: int):
+    return lambda batches: _walk(batches, small)
+
+
+def _walk(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
     """Buckets of one partition, in path order, as a stream; no bucket is held whole. GOING rows come last.
 
     Output rows: pairs, and members of buckets that must descend (CROWDED).
@@ -209,17 +213,17 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last bucket may go on in the next batch.
         cut = len(path) if batch is None else int(np.flatnonzero(np.append(True, path[1:] != path[:-1]))[-1])
         if cut:
-            yield from _settle(*(c[:cut] for c in cols), lead)
+            yield from _settle(*(c[:cut] for c in cols), lead, small)
             if lead is not None and (cut == len(path) or path[cut] != lead[0]):
                 lead = None
             cols = [c[cut:] for c in cols]
-        if batch is not None and len(cols[0]) > SMALL and cols[3][0] != PAIR:
+        if batch is not None and len(cols[0]) > small and cols[3][0] != PAIR:
             lead = lead or (cols[0][0], cols[1][0], cols[2][0])
-            yield from _settle(*cols, lead)
+            yield from _settle(*cols, lead, small)
             cols = [c[:0] for c in cols]
 
 
-def _settle(path: np.ndarray, a: np.ndarray, x: np.ndarray, kind: np.ndarray, lead: tuple | None) -> Iterator[pa.RecordBatch]:
+def _settle(path: np.ndarray, a: np.ndarray, x: np.ndarray, kind: np.ndarray, lead: tuple | None, small: int) -> Iterator[pa.RecordBatch]:
     """Whole buckets, but for one that lead names: it began before or goes on."""
     first = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
     crowded = np.repeat(np.logical_or.reduceat(kind == CROWDED, first), np.diff(np.append(first, len(path))))
@@ -233,16 +237,16 @@ def _settle(path: np.ndarray, a: np.ndarray, x: np.ndarray, kind: np.ndarray, le
         at = first[is_pair]
         yield _rows(path[at], a[at], x[at], PAIR)
     many = ~is_pair & ((size > 1) | going)
-    large = many & ((size > SMALL) | crowded[first] | going)
+    large = many & ((size > small) | crowded[first] | going)
     if large.any():
         inside, key, check = np.repeat(large, size), np.repeat(a[first], size), np.repeat(x[first], size)
         for i in np.flatnonzero(going):
             key[first[i] : first[i] + size[i]], check[first[i] : first[i] + size[i]] = lead[1], lead[2]
         yield _pair_rows(key[inside], a[inside], check[inside], x[inside])
         yield _rows(path[inside], a[inside], x[inside], CROWDED)
-    small = np.repeat(many & ~large, size)
-    path, a, x = path[small], a[small], x[small]
-    for step in range(1, SMALL):
+    few = np.repeat(many & ~large, size)
+    path, a, x = path[few], a[few], x[few]
+    for step in range(1, small):
         left = np.flatnonzero(path[:-step] == path[step:])
         if not len(left):
             break
@@ -283,15 +287,15 @@ def may_match(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.mapInArrow(_passing(key_filter(keys)), df.schema)
 
 
-def _levels(sig: DataFrame, runs: range) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def _levels(sig: DataFrame, runs: range, small: int = SMALL) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(pairs, crowded, rest) of some runs: pairs (a, b) that met, signatures of the sets that were in a crowded
     bucket, and rows (key, path, x) of the buckets still crowded at MAX_DEPTH. One shuffle of small rows a level."""
-    paths = sig.mapInArrow(_start_paths(runs, DEPTH), PATHS)
+    paths = sig.mapInArrow(_start_paths(runs, DEPTH, small), PATHS)
     found, depth, crowded, rest = [], DEPTH, None, None
     while True:
         going = F.col("kind") == GOING
         placed = paths.repartition(F.when(going, F.xxhash64("path", "a")).otherwise(F.col("path")))
-        met = materialize(placed.sortWithinPartitions(going, "path", "a").mapInArrow(_walk, PATHS), "met")
+        met = materialize(placed.sortWithinPartitions(going, "path", "a").mapInArrow(_walker(small), PATHS), "met")
         found.append(met.where(F.col("kind") == PAIR).select("a", F.col("x").alias("b")))
         deeper = met.where(F.col("kind") == CROWDED).select(F.col("a").alias("key"), "path", "x")
         if deeper.isEmpty():
@@ -302,32 +306,32 @@ def _levels(sig: DataFrame, runs: range) -> tuple[DataFrame, DataFrame | None, D
         if crowded is None:  # every later level is among these sets
             sig = crowded = materialize(may_match(sig, deeper.select("key")), "signatures")
         depth += 1
-        paths = deeper.join(sig, "key").select("key", "path", "sig").mapInArrow(_next_paths(), PATHS)
+        paths = deeper.join(sig, "key").select("key", "path", "sig").mapInArrow(_next_paths(small), PATHS)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     return pairs, crowded, rest
 
 
-def candidate_pairs(sketches: DataFrame, runs: int, deep_runs: int = 0) -> tuple[DataFrame, DataFrame | None]:
+def candidate_pairs(sketches: DataFrame, runs: int, deep_runs: int = 0, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
     """Distinct (a, b), a < b, of representatives that meet in some bucket, and the rows (key, path, x) of buckets
     that did not split. Sets that were in a crowded bucket walk deep_runs in all."""
-    pairs, crowded, rest = _levels(sketches.select("key", "sig"), range(runs))
+    pairs, crowded, rest = _levels(sketches.select("key", "sig"), range(runs), small)
     if crowded is not None and deep_runs > runs:
-        more, _, last = _levels(crowded, range(runs, deep_runs))
+        more, _, last = _levels(crowded, range(runs, deep_runs), small)
         pairs = pairs.unionByName(more)
         rest = last if rest is None else rest if last is None else rest.unionByName(last)
     return pairs.distinct(), rest
 
 
-def unsplit_pairs(rest: DataFrame, roots: DataFrame) -> DataFrame:
+def unsplit_pairs(rest: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
     """Distinct (a, b), a < b, of the buckets that did not split: all pairs with enough equal check bytes that are
     in different groups so far. At least one set of such a pair is outside the bucket's main group; those sets are
-    the left side. Either side is dealt into blocks of about SMALL sets, and each cell (i, j) is joined for itself."""
+    the left side. Either side is dealt into blocks of about `small` sets, and each cell (i, j) is joined for itself."""
     named = rest.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sizes = named.groupBy("path", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("path").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("m")).where("most < m")
-    blocks = lambda n: F.ceil(n / F.lit(SMALL)).cast("int")
+    blocks = lambda n: F.ceil(n / F.lit(small)).cast("int")
     mixed = materialize(named.join(main.select("path", "main", blocks(F.col("m")).alias("mi"), blocks(F.col("m") - F.col("most")).alias("mj")), "path"), "mixed")
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -385,7 +389,7 @@ def verified_links(texts: DataFrame, pairs: DataFrame, k: int, threshold: float)
     return attach_both(pairs, sets).mapInArrow(_verify(threshold), "a bigint, b bigint, overlap double")
 
 
-def near_duplicate_groups(texts: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0.8, min_words: int = 20, recall: float = 0.995) -> DataFrame:
+def near_duplicate_groups(texts: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0.8, min_words: int = 20, recall: float = 0.995, small: int = SMALL) -> DataFrame:
     """(key_a, key_b): key_b every member of a group but the least, key_a the least key of its group."""
     base = texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     sketches = materialize(base.mapInArrow(_sketcher(k, min_words), "key bigint, h1 bigint, h2 bigint, sig binary"), "sketches")
@@ -395,11 +399,11 @@ def near_duplicate_groups(texts: DataFrame, key: str, text: str, k: int = 5, thr
     followers = materialize(join_hot_cold(sketches.select("key", "h1", "h2"), copies, ["h1", "h2"], "n", total).where("key <> rep").select("key", "rep", "n"), "followers")
     reps = sketches.join(followers, "key", "left_anti")
     part = 1 - (1 - recall) / 2
-    pairs, rest = candidate_pairs(reps, runs_for(part, threshold), runs_for(part, threshold, MAX_DEPTH))
+    pairs, rest = candidate_pairs(reps, runs_for(part, threshold), runs_for(part, threshold, MAX_DEPTH), small)
     links = materialize(verified_links(base, materialize(pairs, "pairs"), k, threshold), "links")
     roots = materialize(connected_components(links, "a", "b"), "roots")
     if rest is not None:
-        more = materialize(unsplit_pairs(rest, roots), "unsplit")
+        more = materialize(unsplit_pairs(rest, roots, small), "unsplit")
         if not more.isEmpty():
             links = links.unionByName(verified_links(base, more, k, threshold))
             roots = materialize(connected_components(links, "a", "b"), "roots")

@@ -53,7 +53,7 @@ def test_word_hashes_agree_with_words(monkeypatch):
 
 @pytest.mark.parametrize(("small", "few"), [(1, 50_000), (64, 50_000), (1, 0)])
 def test_top_n_against_loops(spark, monkeypatch, small, few):
-    monkeypatch.setattr(topn, "FEW_FLOORS", few)
+    monkeypatch.setattr(topn, "FEW_FLOORS", few)  # read on the driver only
     rng = random.Random(2)
     rows = []
     for i in range(3000):
@@ -104,8 +104,8 @@ def groups_by_force(texts, k, threshold, least):
     return {(find(x), x) for x in keys if find(x) != x}
 
 
-def test_near_duplicates_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 4)  # so that large buckets and deeper levels occur
+@pytest.mark.parametrize("small", [4, 128])  # with 4, large buckets and all levels occur
+def test_near_duplicates_against_all_pairs(spark, small):
     rng = random.Random(5)
     base = [text(60, rng) for _ in range(60)]
     texts = [(i, t) for i, t in enumerate(base)]
@@ -115,7 +115,7 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     texts += [(7000 + j, base[41].upper()) for j in range(150)]  # a hot group of copies
     texts += [(9000, None), (9001, ""), (9002, "too short"), (9003, " ".join(["same"] * 50)), (9004, " ".join(["same"] * 70)), (9005, text(20_000, rng))]
     df = spark.createDataFrame(texts, "key bigint, text string").withColumn("a", F.lit(0)).withColumn("path", F.lit("x")).repartition(3)
-    got = {tuple(r) for r in neardup.near_duplicate_groups(df, "key", "text", 3, 0.5, 20).collect()}
+    got = {tuple(r) for r in neardup.near_duplicate_groups(df, "key", "text", 3, 0.5, 20, small=small).collect()}
     assert got == groups_by_force(texts, 3, 0.5, 20)
     assert neardup.near_duplicate_groups(df.where("false"), "key", "text").count() == 0
 
@@ -155,6 +155,25 @@ def test_pairs_of_a_bucket_that_does_not_split(spark):
     assert late.where("a = 1000 and b = 1001").isEmpty()  # in one group already
 
 
+@pytest.mark.parametrize("small", [16, 128])
+def test_recall_at_the_threshold_in_a_crowded_family(spark, small):
+    """600 sets that share a base (boilerplate), each with a twin of its own: of the pairs of twins, overlap near one half,
+    0.99 are met, directly at some level or in the blocks of a bucket that didn't split."""
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 2**16, neardup.POSITIONS, dtype=np.uint16)
+    held = rng.random((600, neardup.POSITIONS)) < 0.4
+    left = np.where(held, base, rng.integers(0, 2**16, held.shape, dtype=np.uint16))
+    right = np.where(held, base, np.where(rng.random(held.shape) < 0.17, left, rng.integers(0, 2**16, held.shape, dtype=np.uint16)))
+    near = (left == right).mean(1) >= 0.5
+    rows = [(i + 5000 * side, bytearray(v[i].tobytes())) for side, v in enumerate((left, right)) for i in np.flatnonzero(near).tolist()]
+    part = 1 - (1 - 0.995) / 2
+    pairs_met, rest = neardup.candidate_pairs(spark.createDataFrame(rows, "key bigint, sig binary"), neardup.runs_for(part, 0.5), neardup.runs_for(part, 0.5, neardup.MAX_DEPTH), small)
+    if rest is not None:
+        pairs_met = pairs_met.unionByName(neardup.unsplit_pairs(rest, spark.createDataFrame([(-1, -1)], "node bigint, root bigint"), small))
+    met = {r["a"] for r in pairs_met.where("b = a + 5000").select("a").distinct().collect()}
+    assert near.sum() > 200 and len(met) >= 0.99 * near.sum()
+
+
 def test_runs_reach_the_recall():
     assert neardup.runs_for(0.9, 0.5) < neardup.runs_for(0.999, 0.5)
     assert neardup.runs_for(0.99, 0.95) <= 2
