@@ -29,6 +29,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import unquote
 
 import numpy as np
@@ -67,40 +68,74 @@ def _items(words: np.ndarray, k: int, scope: int) -> np.ndarray:
         return mix(rolling(words.astype(np.uint64), k) ^ np.uint64(scope))
 
 
+def _sequences(words: list[np.ndarray], k: np.ndarray, scope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, record number) of many records, each record's items in text order, one record after another."""
+    out, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for one in np.unique(k):
+        rows = np.flatnonzero(k == one)
+        owner = np.repeat(rows, [len(words[i]) for i in rows])
+        n = len(owner) - int(one) + 1
+        if n > 0:
+            inside = owner[:n] == owner[int(one) - 1 :]
+            owner = owner[:n][inside]
+            with np.errstate(over="ignore"):
+                out.append(mix(rolling(np.concatenate([words[i] for i in rows]).astype(np.uint64), int(one))[inside] ^ scope[owner]))
+            owners.append(owner)
+    return np.concatenate(out), np.concatenate(owners)
+
+
+def _distinct(seq: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, record number) once each, in order of record, then item; and the place of each of seq among them."""
+    order = np.lexsort((seq, owner))
+    v, o = seq[order], owner[order]
+    new = np.append(True, (v[1:] != v[:-1]) | (o[1:] != o[:-1]))[: len(v)]
+    at = np.empty(len(v), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return v[new], o[new], at
+
+
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, scope, text, side, k, t -> key, side, k, t, scope hash, set hashes, number of items, word hashes."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(9)]
-        rows = list(zip(*(batch.column(i).to_pylist() for i in range(6))))
-        rows = [r for r in rows if r[1] is not None]
+        rows = [r for r in zip(*(batch.column(i).to_pylist() for i in range(6))) if r[1] is not None]
         for part, some in chunks(rows, [r[2] for r in rows]):
             hashes, counts = batch_hashes(some)
             hashes = (hashes >> np.uint64(32)).astype("<u4")
             bounds = np.cumsum(np.append(0, counts))
-            for i, (key, scope, _, side, k, t) in enumerate(part):
-                words = hashes[bounds[i] : bounds[i + 1]]
-                tie = xxhash.xxh3_64_intdigest(canonical_id(scope))
-                items = np.unique(_items(words, k, tie))
-                if not len(items):
-                    continue
-                with np.errstate(over="ignore"):
-                    h1, h2 = np.add.reduce(mix(items)), np.add.reduce(mix(items ^ _GOLD))
-                for col, x in zip(out, (key, side, k, t, tie - 2**63, int(h1) - 2**63, int(h2) - 2**63, len(items), words.tobytes())):
-                    col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _RECORD)], schema=_RECORD)
+            words = [hashes[bounds[i] : bounds[i + 1]] for i in range(len(part))]
+            scope = np.array([_scope_hash(r[1]) for r in part], np.uint64)
+            items, owner, _ = _distinct(*_sequences(words, np.array([r[4] for r in part]), scope))
+            if not len(items):
+                continue
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            at = owner[starts]
+            with np.errstate(over="ignore"):
+                h1, h2 = np.add.reduceat(mix(items), starts), np.add.reduceat(mix(items ^ _GOLD), starts)
+            kept = [part[i] for i in at]
+            cols = [[r[0] for r in kept], [r[3] for r in kept], [r[4] for r in kept], [r[5] for r in kept], scope[at].view(np.int64), h1.view(np.int64), h2.view(np.int64), np.diff(np.append(starts, len(items))), [words[i].tobytes() for i in at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RECORD)], schema=_RECORD)
+
+
+@lru_cache(maxsize=100_000)
+def _scope_hash(scope: str) -> int:
+    return xxhash.xxh3_64_intdigest(canonical_id(scope))
 
 
 _RECORD = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("k", pa.int32()), ("t", pa.float64()), ("scope", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("words", pa.binary())])
 RECORD = "key bigint, side int, k int, t double, scope bigint, h1 bigint, h2 bigint, n int, words binary"
 
 
-def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names))
+def _numbers(batch: pa.RecordBatch, *names: str) -> Iterator[np.ndarray]:
+    return (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names)
+
+
+def _unpacked(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    return [np.frombuffer(raw, "<u4") for raw in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
 def _all_items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for k, scope, raw in _columns(batch, "k", "scope", "words"):
-        yield np.unique(_items(np.frombuffer(raw, "<u4"), k, scope + 2**63))
+    k, scope = _numbers(batch, "k", "scope")
+    yield _distinct(*_sequences(_unpacked(batch, "words"), k, scope.view(np.uint64)))[0]
 
 
 def _selected(rarity: np.ndarray):
@@ -109,28 +144,50 @@ def _selected(rarity: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-            for key, k, t, scope, raw, train, held in _columns(batch, "key", "k", "t", "scope", "words", "train_rows", "eval_rows"):
-                seq = _items(np.frombuffer(raw, "<u4"), k, scope + 2**63)
-                items = np.unique(seq)
-                often = rarity[bucket_of(items)]
-                share = math.ceil(t * len(items) - 1e-9)
-                kind = np.zeros(len(items), np.int8)
-                kind[np.lexsort((items, often))[: len(items) - share + min(SHARED, share)]] = 2
-                prints = np.searchsorted(items, seq[winnow(seq, WINDOW, rarity)])
-                prints = np.unique(prints[often[prints] <= common])
-                kind[prints] |= 1
-                good = np.flatnonzero((kind > 0) & (often > 1))  # what occurs once joins nothing
-                if len(good):
-                    m = len(good)
-                    for c, x in zip(cols, (np.full(m, key), np.full(m, len(items), np.int32), np.full(m, t), np.full(m, len(prints), np.int32), np.full(m, train > 0), np.full(m, held > 0), items[good].view(np.int64), kind[good])):
-                        c.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "n", "t", "prints", "has_train", "has_eval", "seed", "kind"])
+            key, k, t, scope, train, held = _numbers(batch, "key", "k", "t", "scope", "train_rows", "eval_rows")
+            seq, place = _sequences(_unpacked(batch, "words"), k, scope.view(np.uint64))
+            items, owner, at = _distinct(seq, place)
+            if not len(items):
+                continue
+            often = rarity[bucket_of(items)]
+            order = np.lexsort((items, often, owner))
+            rank = np.empty(len(items), np.int64)
+            rank[order] = np.arange(len(items))
+            n = np.bincount(owner, minlength=batch.num_rows)
+            share = np.ceil(t * n - 1e-9).astype(np.int64)
+            least = n - share + np.minimum(SHARED, share)
+            kind = np.where(rank - (np.cumsum(n) - n)[owner] < least[owner], 2, 0).astype(np.int8)
+            prints = order[window_minima(rank[at], place)]
+            prints = prints[often[prints] <= common]
+            kind[prints] |= 1
+            count = np.bincount(owner[prints], minlength=batch.num_rows)
+            good = np.flatnonzero((kind > 0) & (often > 1))  # what occurs once joins nothing
+            if len(good):
+                o = owner[good]
+                cols = (key[o], n[o].astype(np.int32), t[o], count[o].astype(np.int32), train[o] > 0, held[o] > 0, items[good].view(np.int64), kind[good])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "n", "t", "prints", "has_train", "has_eval", "seed", "kind"])
 
     return run
 
 
+def window_minima(ranks: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The distinct minima of all windows of consecutive ranks of one owner; an owner with fewer ranks is one window."""
+    if not len(ranks):
+        return ranks
+    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    size = np.diff(np.append(starts, len(ranks)))
+    room = np.maximum(size, window)  # a short owner is filled up with ranks above all others
+    first = np.cumsum(room) - room
+    padded = np.full(int(room.sum()), np.iinfo(np.int64).max)
+    padded[np.arange(len(ranks)) + np.repeat(first - starts, size)] = ranks
+    low, width = padded, 1
+    while width < window:
+        step = min(width, window - width)
+        low, width = np.minimum(low[:-step], low[step:]), width + step
+    inside = np.repeat(first + room - window, room)[: len(low)] >= np.arange(len(low))
+    return np.unique(low[inside])
+
+
 def winnow(hashes: np.ndarray, window: int = WINDOW, rarity: np.ndarray | None = None) -> np.ndarray:
     """Positions of the minima of every window of consecutive hashes (rightmost of equal ones), rare ones first if
     counts are given."""
@@ -191,34 +248,32 @@ def coverage(a: np.ndarray, b: np.ndarray, k: int, scope: int = 0, rarity: np.nd
     return float(in_a.mean()), float(in_b.mean())
 
 
-def _overlaps(batch: pa.RecordBatch) -> tuple[list[tuple], np.ndarray]:
-    """(words, words, k, scope) of each pair of the batch, and the exact overlap of its item sets."""
-    pairs, values, owners, sizes = [], [], [], np.zeros((batch.num_rows, 2), np.int64)
-    for i, (left, right, k, scope) in enumerate(_columns(batch, "left", "right", "k", "scope")):
-        both = np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4")
-        pairs.append((*both, k, scope + 2**63))
-        for side, words in enumerate(both):
-            items = np.unique(rolling(words.astype(np.uint64), k))
-            sizes[i, side] = len(items)
-            values.append(items)
-            owners.append(np.full(len(items), i))
-    if not pairs:
-        return [], np.zeros(0)
-    v, o = np.concatenate(values), np.concatenate(owners)
+def _overlaps(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Words of both sides of each pair of the batch, and the exact overlap of their item sets."""
+    k, scope = _numbers(batch, "k", "scope")
+    sides, sets, sizes = [], [], np.zeros(batch.num_rows, np.int64)
+    for name in ("left", "right"):
+        words = _unpacked(batch, name)
+        items, owner, _ = _distinct(*_sequences(words, k, scope.view(np.uint64)))
+        sizes += np.bincount(owner, minlength=batch.num_rows)
+        sides.append(words)
+        sets.append((items, owner))
+    v, o = (np.concatenate(x) for x in zip(*sets))
     order = np.lexsort((v, o))
     v, o = v[order], o[order]
-    both = np.bincount(o[1:][(v[1:] == v[:-1]) & (o[1:] == o[:-1])], minlength=len(pairs))
-    return pairs, both / np.maximum(sizes.sum(1) - both, 1)
+    both = np.bincount(o[1:][(v[1:] == v[:-1]) & (o[1:] == o[:-1])], minlength=batch.num_rows)
+    return *sides, both / np.maximum(sizes - both, 1)
 
 
 def _linked(rarity: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs, overlap = _overlaps(batch)
-            rows = []
-            for i, (a, b, t, prints) in enumerate(_columns(batch, "a", "b", "t", "shared_prints")):
-                if overlap[i] >= t - 1e-9:
-                    rows.append((a, b, float(overlap[i]), *coverage(*pairs[i], rarity), prints))
+            if not batch.num_rows:
+                continue
+            left, right, overlap = _overlaps(batch)
+            a, b, k, t, scope, prints = _numbers(batch, "a", "b", "k", "t", "scope", "shared_prints")
+            good = np.flatnonzero(overlap >= t - 1e-9)
+            rows = [(int(a[i]), int(b[i]), float(overlap[i]), *coverage(left[i], right[i], int(k[i]), int(scope[i]) % 2**64, rarity), int(prints[i])) for i in good]
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _LINK)], schema=_LINK)
 
