@@ -82,21 +82,19 @@ class HashingEmbedder(Component):
     size: int = parameter(64, "dimensions")
 
     def embed(self, text: Column) -> Column:
+        """Words are hashed in the JVM; a batch of them is counted into vectors at once."""
         size = self.size
 
         @F.pandas_udf("array<float>")
-        def vector(s: pd.Series) -> pd.Series:
-            out = []
-            for t in s:
-                v = np.zeros(size, np.float32)
-                for w in str(t or "").lower().split():
-                    h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                    v[h % size] += 1 if h >> 63 else -1
-                n = np.linalg.norm(v)
-                out.append((v / n if n else v).tolist())
-            return pd.Series(out)
+        def vector(hashes: pd.Series) -> pd.Series:
+            lists = [np.asarray(h, np.int64) if h is not None else np.zeros(0, np.int64) for h in hashes]
+            row = np.repeat(np.arange(len(lists)), [len(h) for h in lists])
+            h = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            v = np.bincount(row * size + np.abs(h >> 1) % size, weights=1.0 - 2.0 * (h & 1), minlength=len(lists) * size).reshape(-1, size)
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            return pd.Series(list((v / np.where(n == 0, 1, n)).astype(np.float32)), dtype=object)
 
-        return vector(text)
+        return vector(F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 @dataclass
@@ -112,16 +110,43 @@ class VectorRetriever(Component):
         return found.withColumnRenamed("qid", "_q").join(numbered.select(F.col("vec_id").alias("_q"), "qid"), "_q").select("qid", F.col("vec_id").alias("doc_id"), "score", "rank")
 
 
+@runtime_checkable
+class PairScorer(Protocol):
+    def score(self, query: Column, passage: Column) -> Column:
+        """Score of a query with a passage: an expression, or a pandas UDF around a model."""
+
+
+@dataclass
+class OverlapScorer(Component):
+    """Share of the query's words that the passage holds: the offline stand-in for a cross-encoder."""
+
+    def score(self, query: Column, passage: Column) -> Column:
+        q, t = F.array_distinct(words(query)), F.array_distinct(words(passage))
+        return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)).cast("double"), F.size(q)), F.lit(0.0)), 6)
+
+
+def passage_text(pairs: DataFrame) -> Column:
+    """Title, blank line, text: what a scorer sees of a document. Without a title, the text."""
+    return F.concat_ws("\n\n", F.when(F.col("title") != "", F.col("title")), F.col("text")) if "title" in pairs.columns else F.col("text")
+
+
 @dataclass
 class OverlapReranker(Component):
-    """Share of the query's words that the text holds."""
+    """Documents of each query by the scores of a pluggable scorer; equal scores go by id."""
 
     keep: int = parameter(0, "documents per query; 0 keeps all")
+    scorer: PairScorer = field(default_factory=OverlapScorer)
 
     def rerank(self, pairs: DataFrame) -> DataFrame:
-        q, t = F.array_distinct(words(F.col("query"))), F.array_distinct(words(F.col("text")))
-        score = F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)).cast("double"), F.size(q)), F.lit(0.0)), 6)
-        return sparse.rank_by_score(pairs.select("qid", "doc_id", score.alias("score")), self.keep or None)
+        scored = pairs.select("qid", "doc_id", self.scorer.score(F.col("query"), passage_text(pairs)).alias("score"))
+        return sparse.rank_by_score(scored, self.keep if self.keep > 0 else None)
+
+
+def distillation_scores(pairs: DataFrame, scorer: PairScorer) -> DataFrame:
+    """(qid, scores): all (score, doc_id) of a query, best first: what a student model is trained on."""
+    scored = pairs.select("qid", "doc_id", scorer.score(F.col("query"), passage_text(pairs)).alias("score"))
+    best_first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "doc_id")))
+    return scored.groupBy("qid").agg(F.transform(best_first, lambda x: F.struct((-x["down"]).alias("score"), x["doc_id"].alias("doc_id"))).alias("scores"))
 
 
 @dataclass
@@ -167,7 +192,7 @@ class Pipeline:
         return hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("previews"))
 
 
-_REGISTRY: dict[str, type] = {c.__name__: c for c in (SparseRetriever, VectorRetriever, HashingEmbedder, OverlapReranker, SentenceReader)}
+_REGISTRY: dict[str, type] = {c.__name__: c for c in (SparseRetriever, VectorRetriever, HashingEmbedder, OverlapScorer, OverlapReranker, SentenceReader)}
 
 
 def register(cls: type) -> type:

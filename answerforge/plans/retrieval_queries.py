@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerforge import components
 from answerforge.functions.text import space_tokens
 from answerforge.operators import evaluate, ranking, sparse
 from answerforge.plans.registry import query
-from answerforge.session import materialize, table
+from answerforge.session import materialize, own_folder, table
 
 WORDS = "list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda t: t <> '')"
 
@@ -51,6 +54,47 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d)
 
 
+@query(BM10 + " select qid, doc_id, score, rank from bm")
+def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranking from an index that is built first, then opened by its folder."""
+    path = f"{own_folder(spark)}/index-{uuid.uuid4().hex}"
+    sparse.BM25Index.build(table(spark, d, "documents").select("doc_id", "text"), path)
+    queries = table(spark, d, "retrieval_triples").select(F.col("id").alias("qid"), "query")
+    return sparse.BM25Index(spark, path).search(queries, 10)
+
+
+PAIRS = f"""p as (select id as qid, query, positive as x from retrieval_triples where positive is not null union all select id, query, unnest(negatives) from retrieval_triples),
+w as (select distinct qid, x.pid as doc_id, query, case when coalesce(x.title, '') <> '' then concat_ws(chr(10) || chr(10), x.title, x.text) else coalesce(x.text, '') end as passage from p where x is not null and x.pid is not null),
+best as (select qid, doc_id, max(passage) as passage, any_value(query) as query from w group by 1, 2),
+sc as (select qid, doc_id, list_distinct({WORDS.format(c="query")}) as q, list_distinct({WORDS.format(c="passage")}) as t from best),
+scored as (select qid, doc_id, round(coalesce(len(list_intersect(q, t))::double / nullif(len(q), 0), 0), 6) as score from sc)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, doc_id, query, text): every query with its positive and negative passages, one text for a passage id."""
+    t = table(spark, d, "retrieval_triples")
+    each = t.select(F.col("id").alias("qid"), "query", F.col("positive").alias("x")).unionByName(
+        t.select(F.col("id").alias("qid"), "query", F.explode("negatives").alias("n")).select("qid", "query", F.struct("n.pid", "n.title", "n.text").alias("x"))
+    )
+    given = each.where("x is not null and x.pid is not null").select("qid", F.col("x.pid").alias("doc_id"), "query", F.col("x.title").alias("title"), F.col("x.text").alias("text"))
+    passages = given.select("qid", "doc_id", "query", F.coalesce(components.passage_text(given), F.lit("")).alias("text"))
+    return passages.groupBy("qid", "doc_id").agg(F.max("text").alias("text"), F.first("query").alias("query"))
+
+
+@query(f"with {PAIRS} select qid, doc_id, score, rank from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from scored) where rank <= 5")
+def rerank_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The mined passages of each query, ranked anew by a pluggable scorer and cut."""
+    return components.OverlapReranker(keep=5).rerank(_pairs(spark, d))
+
+
+@query(f"with {PAIRS} select qid, count(*) as passages, string_agg(doc_id || ':' || printf('%.4f', score), ',' order by score desc, doc_id) as scores from scored group by 1")
+def distillation_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All scored passages of each query, best first."""
+    lists = components.distillation_scores(_pairs(spark, d), components.OverlapScorer())
+    text = F.array_join(F.transform("scores", lambda x: F.concat(x["doc_id"], F.lit(":"), F.format_string("%.4f", x["score"]))), ",")
+    return lists.select("qid", F.size("scores").cast("bigint").alias("passages"), text.alias("scores"))
+
+
 @query("with " + bm25_sql(0.8, 10) + " select qid, doc_id, score, rank from bm")
 def bm25_topk_k08(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, 0.8)

@@ -5,32 +5,71 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerforge import components
+from answerforge.operators.sparse import BM25Index
 
 STATES = ("INDEXING", "READY", "CORRUPT", "DOES_NOT_EXIST")
 
 
+class Folder:
+    """Small files under a root that any file system of the cluster may hold."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root, self._paths = root.rstrip("/"), spark._jvm.org.apache.hadoop.fs
+        self._system = self._paths.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, *names: str) -> str:
+        return "/".join((self.root, *names))
+
+    def _at(self, *names: str):
+        return self._paths.Path(self.path(*names))
+
+    def exists(self, *names: str) -> bool:
+        return self._system.exists(self._at(*names))
+
+    def names(self) -> list[str]:
+        if not self._system.exists(self._at()):
+            return []
+        return sorted(f.getPath().getName() for f in self._system.listStatus(self._at()))
+
+    def read(self, *names: str) -> str:
+        stream = self._system.open(self._at(*names))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, text: str, *names: str) -> None:
+        """Whole or not at all: written under another name, then renamed."""
+        temporary, target = self._at(*names[:-1], f".{uuid.uuid4().hex}"), self._at(*names)
+        self._system.mkdirs(target.getParent())
+        stream = self._system.create(temporary, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if self._system.exists(target):
+            self._system.delete(target, False)
+        if not self._system.rename(temporary, target):
+            raise OSError(f"can't write {target}")
+
+
 class IndexStore:
-    """Indexes as folders: the documents as Parquet, and a small JSON file with state and configuration."""
+    """Indexes as folders under any root that Spark can write to: the documents as Parquet, for the sparse engine an
+    inverted index that every search uses, and a small JSON file with state and configuration."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.folder = spark, Folder(spark, root)
 
     def _info(self, index_id: str) -> dict:
-        path = self.root / index_id / "information.json"
-        return json.loads(path.read_text()) if path.exists() else {"index_id": index_id, "state": "DOES_NOT_EXIST"}
+        if not self.folder.exists(index_id, "information.json"):
+            return {"index_id": index_id, "state": "DOES_NOT_EXIST"}
+        return json.loads(self.folder.read(index_id, "information.json"))
 
     def _write(self, info: dict) -> None:
-        folder = self.root / info["index_id"]
-        folder.mkdir(parents=True, exist_ok=True)
-        temporary = folder / f".{uuid.uuid4().hex}"
-        temporary.write_text(json.dumps(info))
-        temporary.replace(folder / "information.json")
+        self.folder.write(json.dumps(info), info["index_id"], "information.json")
 
     def generate(self, docs: DataFrame, engine: str = "SparseRetriever", index_id: str | None = None, **config) -> str:
         """Stores (doc_id, title, text); READY when all is written, CORRUPT if that fails."""
@@ -39,7 +78,10 @@ class IndexStore:
         self._write(info)
         try:
             rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("title", F.lit("")).alias("title"), "text")
-            rows.write.mode("overwrite").parquet(str(self.root / index_id / "documents"))
+            rows.write.mode("overwrite").parquet(self.folder.path(index_id, "documents"))
+            if engine == "SparseRetriever":
+                made = components.get(engine, **config)
+                BM25Index.build(self.spark.read.parquet(self.folder.path(index_id, "documents")), self.folder.path(index_id, "bm25"), k1=made.k1, b=made.b)
             self._write(info | {"state": "READY", "modified": time.time()})
         except Exception:
             self._write(info | {"state": "CORRUPT", "modified": time.time()})
@@ -50,13 +92,13 @@ class IndexStore:
         return self._info(index_id)["state"]
 
     def indexes(self) -> DataFrame:
-        found = [self._info(p.name) for p in sorted(self.root.iterdir()) if (p / "information.json").exists()] if self.root.exists() else []
+        found = [self._info(n) for n in self.folder.names() if self.folder.exists(n, "information.json")]
         return self.spark.createDataFrame([(i["index_id"], i.get("engine"), i["state"]) for i in found], "index_id string, engine string, state string")
 
     def documents(self, index_id: str, ids: list[int] | None = None) -> DataFrame:
         if self.status(index_id) != "READY":
             raise ValueError(f"index {index_id} is {self.status(index_id)}")
-        docs = self.spark.read.parquet(str(self.root / index_id / "documents"))
+        docs = self.spark.read.parquet(self.folder.path(index_id, "documents"))
         return docs.where(F.col("doc_id").isin(ids)) if ids is not None else docs
 
     def retrieve(self, index_id: str, queries: DataFrame, retriever: str | None = None, **overrides) -> DataFrame:
@@ -65,5 +107,9 @@ class IndexStore:
         docs = self.documents(index_id)
         if retriever and retriever != info["engine"]:
             raise ValueError(f"index {index_id} is of {info['engine']}, not {retriever}")
-        found = components.get(info["engine"], **(info["config"] | overrides)).retrieve(queries, docs)
+        made = components.get(info["engine"], **(info["config"] | overrides))
+        if info["engine"] == "SparseRetriever":
+            found = BM25Index(self.spark, self.folder.path(index_id, "bm25"), made.k1, made.b).search(queries, made.k)
+        else:
+            found = made.retrieve(queries, docs)
         return found.join(docs, "doc_id")

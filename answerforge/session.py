@@ -67,7 +67,7 @@ def shared_dir(spark: SparkSession) -> str:
 _own: set[str] = set()
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
     """This application's part of the shared folder; it goes when the driver's Python ends."""
     folder = f"{shared_dir(spark)}/answerforge-{spark.sparkContext.applicationId}"
     if folder not in _own:
@@ -92,7 +92,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives the loss of executors,
     and gives the planner the true size for later broadcast decisions."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -104,7 +104,7 @@ def materialize_all(parts: Iterator[DataFrame], name: str = "t") -> DataFrame |
     for df in parts:
         if path is None:
             spark, schema = df.sparkSession, df.schema
-            path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+            path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.mode("append").option("compression", "zstd").parquet(path)
     return None if path is None else spark.read.schema(schema).parquet(path)
 
