@@ -317,7 +317,9 @@ def overlap_classes(records: DataFrame, block: int = BLOCK) -> tuple[DataFrame,
     both = F.col("k1").bitwiseAND(F.col("k2"))
     must = F.least(F.lit(SHARED), F.ceil(F.col("t") * least - F.lit(1e-9)))
     enough = F.greatest(F.lit(1), F.ceil(F.col("t") / 2 * F.least("w1", "w2")))
-    met = split_join(train, held, ["seed"], block).where((F.col("c1") != F.col("c2")) & near).groupBy("c1", "c2").agg(
+    sizes = [F.ceil(F.sum(F.col(c).cast("int")) / F.lit(block)).cast("int").alias(b) for c, b in (("has_train", "_bl"), ("has_eval", "_br"))]
+    big = seeds.groupBy("seed").agg(*sizes).where("greatest(_bl, _br) > 1 and least(_bl, _br) > 0")
+    met = split_join(train, held, ["seed"], block, big=big).where((F.col("c1") != F.col("c2")) & near).groupBy("c1", "c2").agg(
         F.sum(F.shiftright(both, 1).cast("bigint")).alias("shared"), F.sum(both.bitwiseAND(F.lit(1)).cast("bigint")).alias("shared_prints"), F.first(must).alias("must"), F.first(enough).alias("enough")
     )
     pairs = materialize(met.where("shared >= must or shared_prints >= enough").select(F.col("c1").alias("a"), F.col("c2").alias("b"), "shared_prints"), "pairs")

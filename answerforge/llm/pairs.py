@@ -51,16 +51,19 @@ def _blocks(df: DataFrame, on: list[str], out: str, block: int) -> DataFrame:
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*on, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias(out))
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], block: int = BLOCK, unique_right: bool = False) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str], block: int = BLOCK, unique_right: bool = False, big: DataFrame | None = None) -> DataFrame:
     """Inner join on NULL-free keys in which no task gets a hot key whole: the rows of a key with more than `block`
     rows on a side are dealt by hash into blocks of about that many, the other side's blocks are repeated for each,
     and every cell is joined for itself. Rows repeated are in proportion to the rows of the result over `block`.
-    Both sides are read twice, so they should be written tables or scans. No row is lost or capped."""
-    big = _blocks(left, on, "_bl", block)
-    if unique_right:
+    Both sides are read twice, so they should be written tables or scans, unless `big` is given: (on, _bl, _br), the
+    numbers of blocks of keys that need more than one. No row is lost or capped."""
+    if big is not None:
+        pass
+    elif unique_right:
+        big = _blocks(left, on, "_bl", block)
         big = big.withColumn("_br", F.lit(1))
     else:
-        big = big.join(_blocks(right, on, "_br", block), on, "full").fillna(1, ["_bl", "_br"])
+        big = _blocks(left, on, "_bl", block).join(_blocks(right, on, "_br", block), on, "full").fillna(1, ["_bl", "_br"])
     big = materialize(big, "big")
     if big.isEmpty():
         return left.join(right, on)
