@@ -10,7 +10,8 @@ so the budget grows with the length.
    is the item's threshold. The shared q-grams lie on diagonals (text position minus item position) that drift by no more than
    the edits shift the text.
 2. Per document the shared q-grams are counted in bands of BAND diagonals that overlap by half; a stretch
-   that drifts by up to BAND / 2 characters lies in one band whole. Bands that meet the item's threshold are regions.
+   that drifts by up to BAND / 2 characters lies in one band whole. Bands that meet the item's threshold, and whose runs of q-grams
+   can make a passage, are regions.
 3. Every region is verified by alignment of words in its band; the longest run of equal words there is exact.
 
 Items that share text share q-grams: the distinct q-grams of a block of items have one place each, stretches of
@@ -39,7 +40,7 @@ from answerforge.llm.words import chunks, fold, mix, word_hashes
 from answerforge.session import materialize_all
 
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 4_000_000
-Q, BAND, PENALTY, MOST_EDITS = 10, 64, 3, 8
+Q, BAND, PENALTY, MOST_EDITS, CELL_BITS = 10, 64, 3, 8, 20
 #: Rows of runs times items that are held at once.
 EXPANDED = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -133,10 +134,24 @@ class Index:
         shift = np.repeat(at[starts] - base[owner[starts]] - place[starts], hi - lo)
         order = np.lexsort((shift, item, segment))
         self.slot, self.shift = segment[order] * max(1, len(self.texts)) + item[order], shift[order]
+        starts_of = [w.starts for w in self.words]
+        self.word_base = np.cumsum([0] + [len(x) for x in starts_of])
+        self.text_base = base
+        lengths = [np.diff(np.append(x, len(t) + 1)) - 1 for x, t in zip(starts_of, self.texts)]
+        self.word_first = np.concatenate([x + base[i] for i, x in enumerate(starts_of)]) if starts_of else np.zeros(0, np.int64)
+        self.word_last = np.concatenate([x + n + base[i] for i, (x, n) in enumerate(zip(starts_of, lengths))]) if starts_of else np.zeros(0, np.int64)
+        pays = lambda x, n: len(x) > PENALTY and bool(((x + n)[PENALTY:] - x[:-PENALTY] < self.q).any())
+        self.dense = np.array([pays(x, n) for x, n in zip(starts_of, lengths)], bool)
         self.bits_log = int(min(26, max(16, np.ceil(np.log2(16 * len(self.hash) + 1)))))
         self.bits = np.zeros(1 << self.bits_log, bool)
         self.bits[(self.hash >> np.uint64(64 - self.bits_log)).astype(np.int64)] = True
 
+    def words_inside(self, item: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Number of the item's words that lie whole in the characters place .. place + length - 1."""
+        first = np.searchsorted(self.word_first, self.text_base[item] + place, "left")
+        last = np.searchsorted(self.word_last, self.text_base[item] + place + length, "right")
+        return np.maximum(last - first, 0)
+
     def runs(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first position, first place, length, segment) of the runs of shared q-grams in a text."""
         h = qgram_hashes(data, self.q)
@@ -171,19 +186,48 @@ class Index:
                 yield doc[again], self.slot[rows] % len(self.texts), at[again], place[again] + self.shift[rows], size[again]
 
 
-def regions(index: Index, doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, item, first diagonal of the band, first position, last position) of bands with enough shared q-grams."""
+def regions(index: Index, doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(bound on the score, bound on the run, document, item, first diagonal of the band, first position, last
+    position) of bands with enough shared q-grams in which a passage is possible, greatest bounds first.
+
+    In an alignment at least one edit lies between two runs of shared q-grams, and equal words outside of runs come in pieces shorter
+    than q characters. Where no such piece of the item holds more than PENALTY words it doesn't pay for its edit, so no score
+    exceeds that of the best chain of runs: their whole words, less PENALTY for each gap."""
     diagonal = at - place
+    out = []
     for half in (0, BAND // 2):
         band = (diagonal + half) // BAND
-        order = np.lexsort((band, item, doc))
-        d, o, b = doc[order], item[order], band[order]
-        starts = np.flatnonzero(np.append(True, (np.diff(d) != 0) | (np.diff(o) != 0) | (np.diff(b) != 0)))
-        rich = np.add.reduceat(size[order], starts) >= index.least[o[starts]]
-        ends = np.append(starts[1:], len(order))
-        for s, e in zip(starts[rich], ends[rich]):
-            rows = order[s:e]
-            yield int(d[s]), int(o[s]), int(b[s]) * BAND - half, int(at[rows].min()), int((at[rows] + size[rows]).max())
+        # Cells too poor even when hashed together can't reach the bound: dropped before sorting.
+        with np.errstate(over="ignore"):
+            cell = (mix((doc * len(index.texts) + item).astype(np.uint64) * _GOLD + band.astype(np.uint64)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        rows = np.flatnonzero(np.bincount(cell, size, minlength=1 << CELL_BITS)[cell] >= index.least[item])
+        order = rows[np.lexsort((at[rows], diagonal[rows], band[rows], item[rows], doc[rows]))]
+        if not len(order):
+            continue
+        d, o, b, p, first, n = doc[order], item[order], band[order], place[order], at[order], size[order]
+        new = np.append(True, (np.diff(d) != 0) | (np.diff(o) != 0) | (np.diff(b) != 0))
+        starts = np.flatnonzero(new)
+        rich = np.add.reduceat(n, starts) >= index.least[o[starts]]
+        # Runs that only a segment's end cuts are one.
+        cut = np.append(True, (np.diff(p - first) != 0) | (first[1:] != first[:-1] + n[:-1])) | new
+        head = np.flatnonzero(cut)
+        length = np.add.reduceat(n, head) + index.q - 1
+        whole = index.words_inside(o[head], p[head], length)
+        group = np.cumsum(new)[head] - 1
+        by_place = np.lexsort((first[head], group))
+        group, whole = group[by_place], whole[by_place]
+        paid = np.cumsum(whole - PENALTY)
+        before = paid - (whole - PENALTY)
+        low = np.minimum.accumulate(before - group * (1 << 40)) + group * (1 << 40)
+        inner = np.flatnonzero(np.append(True, np.diff(group) != 0))
+        bound = np.maximum.reduceat(paid - low + PENALTY, inner)
+        bound[index.dense[o[starts]]] = 1 << 30
+        run = np.maximum.reduceat(whole, inner)
+        begin, last = np.minimum.reduceat(first, starts), np.maximum.reduceat(first + n, starts)
+        for i in np.flatnonzero(rich & (bound >= index.min_words)):
+            s = starts[i]
+            out.append((int(bound[i]), int(run[i]), int(d[s]), int(o[s]), int(b[s]) * BAND - half, int(begin[i]), int(last[i])))
+    return sorted(out, reverse=True)
 
 
 def align(text: Words, first: int, last: int, item: Words, low: int, high: int) -> tuple[int, int, int]:
@@ -223,7 +267,10 @@ def scan(index: Index, keys: list[int], texts: list[str | None]) -> list[tuple]:
     words: dict[int, Words] = {}
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for part in index.expanded((runs[0] - starts[doc], *runs[1:]), doc):
-        for d, o, low, at, end in regions(index, *part):
+        for bound, possible, d, o, low, at, end in regions(index, *part):
+            points, _, run = best.get((d, o), (0, 0, 0))
+            if bound <= points and possible <= run:
+                continue
             if d not in words:
                 words[d] = Words(raw[d])
             text = words[d]
