@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from answerforge.operators.sparse import rank_by_score
 from answerforge.operators.topk import RunningTopK
+from answerforge.session import materialize, materialize_all
 
 #: Query vectors that go to the tasks at once; more are searched in further passes.
 QUERY_BLOCK, ROW_BLOCK = 4096, 512
@@ -86,10 +87,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "d
     NULL vectors match nothing; equal scores (6 places) go by id.
     """
     base = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    found = None
-    for qids, block in _query_blocks(queries.select(F.col(vec_id).cast("bigint"), F.col(vector).alias("v"))):
-        part = base.mapInArrow(_searcher(qids, block, k, metric, not_self), "qid bigint, vec_id bigint, score double")
-        found = part if found is None else found.unionByName(part)
+    blocks = _query_blocks(queries.select(F.col(vec_id).cast("bigint"), F.col(vector).alias("v")))
+    found = materialize_all((base.mapInArrow(_searcher(qids, block, k, metric, not_self), "qid bigint, vec_id bigint, score double") for qids, block in blocks), "hits")
     if found is None:
         return vectors.sparkSession.createDataFrame([], "qid bigint, vec_id bigint, score double, rank bigint")
     return rank_by_score(found, k, "qid", "vec_id")
@@ -155,17 +154,28 @@ def token_maxima(scored: DataFrame) -> DataFrame:
     return scored.groupBy("q", "d", "qtok").agg(F.max("score").alias("m")).groupBy("q", "d").agg(F.round(F.sum("m"), 6).alias("score"))
 
 
+def _token_blocks(query_tokens: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, query token, vectors) in blocks of about QUERY_BLOCK tokens; a query's tokens stay together."""
+    rows: list[tuple] = []
+    for r in query_tokens.select("q", "qtok", "v").where("v is not null").orderBy("q", "qtok").toLocalIterator():
+        if len(rows) >= QUERY_BLOCK and rows[-1][0] != r[0]:
+            yield _token_arrays(rows)
+            rows = []
+        rows.append(tuple(r))
+    if rows:
+        yield _token_arrays(rows)
+
+
+def _token_arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)
+
+
 def pair_scores(doc_tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
     """(q, qtok, d, score): best score of each query token in each document. Columns: (d, v) and (q, qtok, v).
+    For all documents with all query tokens; maxima per document are taken before anything is written."""
 
-    Query tokens go to the tasks in blocks; maxima per document are taken before the shuffle.
-    """
-    found = None
-    rows, names = [], []
-
-    def scan(block: list, m: np.ndarray):
+    def scan(qs: np.ndarray, qt: np.ndarray, m: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qs, qt = np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block], np.int64)
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -178,22 +188,158 @@ def pair_scores(doc_tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
 
         return run
 
-    def flush() -> None:
-        nonlocal found, rows, names
-        part = doc_tokens.select("d", "v").mapInArrow(scan(names, np.array(rows, np.float64)), "q bigint, qtok bigint, d bigint, score double")
-        found = part if found is None else found.unionByName(part)
-        rows, names = [], []
+    base = doc_tokens.select("d", "v").where("v is not null")
+    found = materialize_all((base.mapInArrow(scan(*block), PAIRS) for block in _token_blocks(query_tokens)), "pairs")
+    return doc_tokens.sparkSession.createDataFrame([], PAIRS) if found is None else found
 
-    for q, t, v in query_tokens.select("q", "qtok", "v").toLocalIterator():
-        rows.append(v)
-        names.append((q, t))
-        if len(rows) == QUERY_BLOCK:
-            flush()
-    if rows or found is None:
-        if not rows:
-            return doc_tokens.sparkSession.createDataFrame([], "q bigint, qtok bigint, d bigint, score double")
-        flush()
-    return found
+
+PAIRS = "q bigint, qtok bigint, d bigint, score double"
+
+
+def candidate_scores(doc_tokens: DataFrame, query_tokens: DataFrame, candidates: DataFrame) -> DataFrame:
+    """`pair_scores` of given (q, d) only: a document's tokens meet the queries that want it, no others."""
+    met = materialize(candidates.select("q", "d").join(doc_tokens.select("d", "v").where("v is not null"), "d"), "met")
+
+    def scan(qs: np.ndarray, qt: np.ndarray, m: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q, d, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), None
+                for one in np.unique(q[np.isin(q, qs)]):
+                    v = _matrix(batch.column(2)) if v is None else v
+                    rows, own = np.flatnonzero(q == one), np.flatnonzero(qs == one)
+                    rows = rows[np.argsort(d[rows], kind="stable")]
+                    starts = np.flatnonzero(np.append(True, np.diff(d[rows]) != 0))
+                    best = np.round(np.maximum.reduceat(m[own] @ v[rows].T, starts, axis=1), 6)
+                    ids = d[rows][starts]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(best.size, one)), pa.array(np.repeat(qt[own], len(ids))), pa.array(np.tile(ids, len(own))), pa.array(best.ravel())], names=["q", "qtok", "d", "score"])
+
+        return run
+
+    found = materialize_all((met.select("q", "d", "v").mapInArrow(scan(*block), PAIRS) for block in _token_blocks(query_tokens)), "pairs")
+    return doc_tokens.sparkSession.createDataFrame([], PAIRS) if found is None else found
+
+
+def maxsim_topk(doc_tokens: DataFrame, query_tokens: DataFrame, k: int) -> DataFrame:
+    """(q, d, score, rank): the k documents of each query with the greatest sum, over its tokens, of the best score in the document.
+
+    Documents' tokens are brought together once; then every block of queries is one pass in which a task sums whole
+    documents and keeps k per query, so no score of a pair leaves it."""
+    base = materialize(doc_tokens.select("d", "v").where("v is not null").repartition("d").sortWithinPartitions("d"), "tokens")
+
+    def scan(qs: np.ndarray, qt: np.ndarray, m: np.ndarray):
+        names, first = np.unique(qs, return_index=True)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = RunningTopK(len(names), k)
+            ids, rows = np.zeros(0, np.int64), np.zeros((0, m.shape[1]))
+            for batch in [*_then_none(batches)]:
+                if batch is not None and batch.num_rows:
+                    ids, rows = np.append(ids, batch.column(0).to_numpy()), np.concatenate([rows, _matrix(batch.column(1))])
+                if not len(ids):
+                    continue
+                # The last document may go on in the next batch.
+                whole = len(ids) if batch is None else int(np.searchsorted(ids, ids[-1]))
+                for lo in _document_cuts(ids[:whole]):
+                    part = slice(*lo)
+                    starts = np.flatnonzero(np.append(True, np.diff(ids[part]) != 0))
+                    tokens = np.round(np.maximum.reduceat(m @ rows[part].T, starts, axis=1), 6)
+                    best.add(ids[part][starts], np.round(np.add.reduceat(tokens, first, axis=0), 6))
+                ids, rows = ids[whole:], rows[whole:]
+            yield pa.RecordBatch.from_arrays([pa.array(names[best.q]), pa.array(best.ids), pa.array(best.scores)], names=["q", "d", "score"])
+
+        return run
+
+    found = materialize_all((base.mapInArrow(scan(*block), "q bigint, d bigint, score double") for block in _token_blocks(query_tokens)), "maxsim")
+    if found is None:
+        return doc_tokens.sparkSession.createDataFrame([], "q bigint, d bigint, score double, rank bigint")
+    return rank_by_score(found, k, "q", "d")
+
+
+def _then_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _document_cuts(ids: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pieces of about ROW_BLOCK rows of sorted ids, whole documents each."""
+    lo = 0
+    while lo < len(ids):
+        hi = min(len(ids), lo + ROW_BLOCK)
+        hi = int(np.searchsorted(ids, ids[hi - 1], "right"))
+        yield lo, hi
+        lo = hi
+
+
+class ResidualCodec:
+    """Vectors as the number of their nearest centroid and a few bits for each dimension of what is left: the bits tell
+    between which cutoffs the rest lies. Decoding puts a weight in their place and scales to unit length."""
+
+    def __init__(self, centroids: DataFrame, cutoffs: list[float], weights: list[float]):
+        self.bits = max(1, (len(weights) - 1).bit_length())
+        if len(weights) != 1 << self.bits or len(cutoffs) != len(weights) - 1:
+            raise ValueError("a codec of b bits has 2^b weights and one cutoff less")
+        table = sorted(centroids.select("cid", "centroid").limit(MOST_CENTROIDS + 1).collect())
+        if len(table) > MOST_CENTROIDS:
+            raise ValueError(f"an index has at most {MOST_CENTROIDS} centroids")
+        self.cids = np.array([r["cid"] for r in table], np.int64)
+        self.centroids = np.array([r["centroid"] for r in table], np.float64).reshape(len(table), -1)
+        self.cutoffs, self.weights = np.array(cutoffs, np.float64), np.array(weights, np.float64)
+
+    def pack(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the centroids, packed bits) of the rows of a matrix; equal scores go to the smaller centroid."""
+        at = np.round(v @ self.centroids.T, 6).argmax(1)
+        bucket = np.searchsorted(self.cutoffs, v - self.centroids[at], "left").astype(np.uint8)
+        bits = (bucket[:, :, None] >> np.arange(self.bits - 1, -1, -1, dtype=np.uint8)) & 1
+        return at, np.packbits(bits.reshape(len(v), -1), axis=1)
+
+    def unpack(self, at: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        size = self.centroids.shape[1]
+        bits = np.unpackbits(packed, axis=1, count=size * self.bits).reshape(len(packed), size, self.bits)
+        bucket = (bits * (1 << np.arange(self.bits - 1, -1, -1))).sum(2)
+        return _unit(self.centroids[at] + self.weights[bucket])
+
+    def encode(self, vectors: DataFrame, ids: list[str], vector: str = "embedding") -> DataFrame:
+        """(ids.., code, packed) of every vector; NULL vectors have none."""
+        base = vectors.where(F.col(vector).isNotNull()).select(*ids, F.col(vector).alias("_v"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    at, packed = self.pack(_matrix(batch.column(len(ids))))
+                    raw, width = packed.tobytes(), packed.shape[1]
+                    rows = pa.array([raw[i * width : (i + 1) * width] for i in range(len(at))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(self.cids[at]), rows], names=[*ids, "code", "packed"])
+
+        return base.mapInArrow(run, self._kinds(base, ids) + "code bigint, packed binary")
+
+    def decode(self, coded: DataFrame, ids: list[str]) -> DataFrame:
+        """(ids.., code, v) of the rows of `encode`."""
+        base = coded.select(*ids, "code", "packed")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    packed = np.frombuffer(b"".join(batch.column(len(ids) + 1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    v = self.unpack(np.searchsorted(self.cids, batch.column(len(ids)).to_numpy()), packed)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))], names=[*ids, "code", "v"])
+
+        return base.mapInArrow(run, self._kinds(base, ids) + "code bigint, v array<double>")
+
+    @staticmethod
+    def _kinds(df: DataFrame, ids: list[str]) -> str:
+        kinds = dict(df.dtypes)
+        return "".join(f"`{c}` {kinds[c]}, " for c in ids)
+
+
+def search_all(coded: DataFrame, codec: ResidualCodec, query_tokens: DataFrame, k: int, ncells: int) -> DataFrame:
+    """(q, d, score, rank) of all queries in one plan. coded: (d, tok, code, packed). A document is a candidate if a token of it has
+    one of the ncells best centroids of a token of the query; candidates are scored on their decoded vectors."""
+    spark = coded.sparkSession
+    centroids = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(codec.cids, codec.centroids)], "cid bigint, centroid array<double>")
+    cells = centroid_scores(query_tokens, centroids, ["q", "qtok"], "v", ncells).select("q", F.col("cid").alias("code")).distinct()
+    candidates = materialize(cells.join(coded.select("code", "d").distinct(), "code").select("q", "d").distinct(), "candidates")
+    wanted = coded.join(candidates.select("d").distinct(), "d", "left_semi")
+    return rank_by_score(token_maxima(candidate_scores(codec.decode(wanted, ["d", "tok"]), query_tokens, candidates)), k, "q", "d")
 
 
 def plaid_cascade(doc_tokens: DataFrame, query_tokens: DataFrame, centroids: DataFrame, threshold: float, ndocs: int, k: int) -> DataFrame:
@@ -204,5 +350,4 @@ def plaid_cascade(doc_tokens: DataFrame, query_tokens: DataFrame, centroids: Dat
     seen = codes.join(qc.where(F.col("score") >= threshold), "code")
     first = rank_by_score(token_maxima(seen), ndocs, "q", "d").select("q", "d")
     second = rank_by_score(token_maxima(codes.join(first, "d").join(qc, ["q", "code"])), max(1, ndocs // 4), "q", "d").select("q", "d")
-    exact = pair_scores(doc_tokens.join(second.select("d").distinct(), "d", "left_semi"), query_tokens).join(second, ["q", "d"])
-    return rank_by_score(token_maxima(exact), k, "q", "d")
+    return rank_by_score(token_maxima(candidate_scores(doc_tokens, query_tokens, materialize(second, "second"))), k, "q", "d")

@@ -120,8 +120,7 @@ def _tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(MAX + ", s as (select q, d, round(sum(m), 6) as score from p group by 1, 2) select q, d, score, rank from (select *, row_number() over (partition by q order by score desc, d) as rank from s) where rank <= 10")
 def maxsim(spark: SparkSession, d: str) -> DataFrame:
-    docs, asked = _tokens(spark, d)
-    return vectors.rank_by_score(vectors.token_maxima(vectors.pair_scores(docs, asked)), 10, "q", "d")
+    return vectors.maxsim_topk(*_tokens(spark, d), 10)
 
 
 @query(MAX + ", r as (select *, row_number() over (partition by q, d order by m desc, qtok) as n from p) select q, d, round(sum(case when n <= 3 then m else 0 end) + sum(case when n <= 1 then m else 0 end), 6) as score from r group by 1, 2")
@@ -134,47 +133,14 @@ def maxsim_flipr(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("q", "d", F.round(total(3) + total(1), 6).alias("score"))
 
 
-@query(f"with {CENT}" + """, dt as (select distinct e.vec_id // 4 as d, code from e join code using (vec_id)), qc as (select vec_id // 200 as q, vec_id as qtok, cid as code, score from cs where vec_id % 50 = 0),
-s1 as (select q, d, round(sum(m), 6) as score from (select q, d, qtok, max(score) as m from dt join qc using (code) where score >= 0.2 group by 1, 2, 3) group by 1, 2),
-t1 as (select q, d from (select *, row_number() over (partition by q order by score desc, d) as n from s1) where n <= 40),
-s2 as (select q, d, round(sum(m), 6) as score from (select q, d, qtok, max(score) as m from t1 join dt using (d) join qc using (q, code) group by 1, 2, 3) group by 1, 2),
-t2 as (select q, d from (select *, row_number() over (partition by q order by score desc, d) as n from s2) where n <= 10),
-s3 as (select q, d, round(sum(m), 6) as score from (select q, d, a.vec_id as qtok, max(round(list_inner_product(a.v, b.v), 6)) as m from t2 join e a on a.vec_id // 200 = q and a.vec_id % 50 = 0 join e b on b.vec_id // 4 = d group by 1, 2, 3) group by 1, 2)
-select q, d, score, rank from (select *, row_number() over (partition by q order by score desc, d) as rank from s3) where rank <= 5""")
-def plaid_cascade(spark: SparkSession, d: str) -> DataFrame:
-    e, _ = _load(spark, d)
-    docs, asked = _tokens(spark, d)
-    c = _centroids(e)
-    coded = docs.join(_codes(e, c).select(F.col("vec_id").alias("tok"), "code"), "tok")
-    return vectors.plaid_cascade(materialize(coded, "coded"), asked, c, 0.2, 40, 5)
-
-
-#: Of plaid_search: a code counts in stage 1 from this score on; documents after stage 1 (a quarter after stage 2).
-PLAID_THRESHOLD, PLAID_NDOCS = 0.1, 1024
-
-
-def _index(e: DataFrame) -> DataFrame:
-    """Centroids of an index over e: partition_count(n) of them by k-means, on a sample by hash of about
-    index_sample_size(n) rows, which grows with the root of n. Only this fit is on a sample."""
-    n = e.count()
-    share = index_sample_size(n) / max(1, n)
-    sample = e if share >= 1 else e.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return materialize(train_centroids(sample, partition_count(n)), "centroids")
-
-
-@query()
-def plaid_search(spark: SparkSession, d: str) -> DataFrame:
-    """The cascade over a k-means index in which every row is coded; k-means has no SQL.
-
-    plaid_cascade, whose SQL fixes label means and a threshold of 0.2, finds nothing on the given tables."""
-    e, _ = _load(spark, d)
-    docs, asked = _tokens(spark, d)
-    c = _index(e)
-    coded = docs.join(_codes(e, c).select(F.col("vec_id").alias("tok"), "code"), "tok")
-    return vectors.plaid_cascade(materialize(coded, "coded"), asked, c, PLAID_THRESHOLD, PLAID_NDOCS, 5)
-
-
-RES = f"with {CENT}, h as (select * from e order by md5(concat_ws('|', vec_id::varchar, '11')), vec_id limit 50000), r as (select h.vec_id, pos, v[pos] - centroid[pos] as x from h join code using (vec_id) join cent on cent.cid = code.code, range(1, 65) t(pos))"
+# All residuals, and those of the held-out vectors, which fit cutoffs and weights.
+RES = (
+    f"with {CENT}, h as (select vec_id from e order by md5(concat_ws('|', vec_id::varchar, '11')), vec_id limit 50000), "
+    "rr as (select e.vec_id, code, pos, v[pos] - centroid[pos] as x, centroid[pos] as m from e join code using (vec_id) join cent on cent.cid = code.code, range(1, 65) t(pos)), r as (select * from rr semi join h using (vec_id)), "
+    "cut as (select round(quantile_cont(x, 0.25), 5) as a, round(quantile_cont(x, 0.5), 5) as b, round(quantile_cont(x, 0.75), 5) as c, [round(quantile_cont(x, 0.125), 5), round(quantile_cont(x, 0.375), 5), round(quantile_cont(x, 0.625), 5), round(quantile_cont(x, 0.875), 5)] as w from r), "
+    "bits as (select rr.*, (x > a)::int + (x > b)::int + (x > c)::int as bucket, w from rr, cut), "
+    "ld as (select vec_id, any_value(code) as code, list(m + w[bucket + 1] order by pos) as u from bits group by 1), dec as (select vec_id, code, list_transform(u, lambda x: x / sqrt(list_inner_product(u, u))) as dv from ld)"
+)
 
 
 HELD_OUT = 50_000
@@ -200,12 +166,92 @@ def residual_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return cuts.select(F.explode(F.arrays_zip(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)).alias("q"), F.col("c").alias("c"))).alias("z")).select(F.col("z.q").alias("q"), F.round("z.c", 5).alias("cutoff"))
 
 
-@query(RES + ", c as (select round(quantile_cont(x, 0.25), 5) as a, round(quantile_cont(x, 0.5), 5) as b, round(quantile_cont(x, 0.75), 5) as c from r) select vec_id, sum(((x > a)::int + (x > b)::int + (x > c)::int))::bigint as code_sum, count(*) as dims from r, c group by 1")
+@query(RES + " select vec_id, sum(bucket)::bigint as code_sum, count(*) as dims from bits group by 1")
 def residual_codes(spark: SparkSession, d: str) -> DataFrame:
     """Each residual as the number of cutoffs below it; here their sum per vector. The cutoffs come from the
-    held-out vectors, every vector is coded; the SQL stops at 50,000 vectors."""
+    held-out vectors, every vector is coded."""
     e, _ = _load(spark, d)
     c = _centroids(e)
     cuts = [round(x, 5) for x in _residuals(_held_out(e), c).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] or []]
     code = sum((F.when(F.col("x") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     return _residuals(e, c).groupBy("vec_id").agg(F.sum(code).cast("bigint").alias("code_sum"), F.count("*").alias("dims"))
+
+
+def _codec(e: DataFrame, c: DataFrame) -> vectors.ResidualCodec:
+    """A codec of 2 bits: cutoffs at the quarters of the held-out residuals, weights amid them."""
+    at = [0.25, 0.5, 0.75, 0.125, 0.375, 0.625, 0.875]
+    values = [round(x, 5) for x in _residuals(_held_out(e), c).agg(F.percentile("x", F.array(*[F.lit(q) for q in at]))).first()[0] or [0.0] * len(at)]
+    return vectors.ResidualCodec(c, values[:3], values[3:])
+
+
+@query(RES + """, b as (select vec_id, code, (pos - 1) // 4 as octet, sum(bucket << (6 - 2 * ((pos - 1) % 4))) as byte from bits group by 1, 2, 3)
+select vec_id, code, string_agg(printf('%02X', byte::int), '' order by octet) as packed from b group by 1, 2""")
+def residual_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The stored form of every vector: its centroid and four dimensions a byte."""
+    e, _ = _load(spark, d)
+    return _codec(e, _centroids(e)).encode(e, ["vec_id"]).select("vec_id", "code", F.hex("packed").alias("packed"))
+
+
+@query(RES + " select vec_id, code, round(list_inner_product(dv, v) / sqrt(list_inner_product(v, v)), 5) as cosine, round(dv[1], 5) as first_value from dec join e using (vec_id)")
+def residual_decompressed(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector decoded, and how near it is to what was coded."""
+    e, _ = _load(spark, d)
+    codec = _codec(e, _centroids(e))
+    decoded = codec.decode(codec.encode(e, ["vec_id"]), ["vec_id"]).join(e.select("vec_id", "embedding"), "vec_id")
+    cosine = vectors.dot(F.col("v"), F.col("embedding")) / vectors.norm(F.col("embedding"))
+    return decoded.select("vec_id", "code", F.round(cosine, 5).alias("cosine"), F.round(F.col("v")[0], 5).alias("first_value"))
+
+
+_DECODED = RES + ", dd as (select vec_id, vec_id // 4 as d, code, dv from dec), qq as (select vec_id // 200 as q, vec_id as qtok, v from e where vec_id % 50 = 0)"
+
+
+@query(_DECODED + """, cells as (select distinct vec_id // 200 as q, cid from (select *, row_number() over (partition by vec_id order by score desc, cid) as n from cs where vec_id % 50 = 0) where n <= 2),
+cand as (select distinct q, d from cells join dd on dd.code = cells.cid), s as (select q, d, qtok, max(round(list_inner_product(qq.v, dd.dv), 6)) as m from cand join qq using (q) join dd using (d) group by 1, 2, 3)
+select q, d, score, rank from (select *, row_number() over (partition by q order by score desc, d) as rank from (select q, d, round(sum(m), 6) as score from s group by 1, 2)) where rank <= 10""")
+def search_all(spark: SparkSession, d: str) -> DataFrame:
+    """All queries in one plan over the compressed vectors: candidates from the lists of two cells a token, then decoded scores."""
+    e, _ = _load(spark, d)
+    docs, asked = _tokens(spark, d)
+    codec = _codec(e, _centroids(e))
+    return vectors.search_all(materialize(codec.encode(docs, ["d", "tok"], "v"), "coded"), codec, asked, 10, 2)
+
+
+@query(_DECODED + """, dt as (select distinct d, code from dd), qc as (select vec_id // 200 as q, vec_id as qtok, cid as code, score from cs where vec_id % 50 = 0), th as (select round(quantile_cont(score, 0.5), 6) as least from qc),
+s1 as (select q, d, round(sum(m), 6) as score from (select q, d, qtok, max(score) as m from dt join qc using (code) where score >= (select least from th) group by 1, 2, 3) group by 1, 2),
+t1 as (select q, d from (select *, row_number() over (partition by q order by score desc, d) as n from s1) where n <= 40),
+s2 as (select q, d, round(sum(m), 6) as score from (select q, d, qtok, max(score) as m from t1 join dt using (d) join qc using (q, code) group by 1, 2, 3) group by 1, 2),
+t2 as (select q, d from (select *, row_number() over (partition by q order by score desc, d) as n from s2) where n <= 10),
+s3 as (select q, d, round(sum(m), 6) as score from (select q, d, qtok, max(round(list_inner_product(qq.v, dd.dv), 6)) as m from t2 join qq using (q) join dd using (d) group by 1, 2, 3) group by 1, 2)
+select q, d, score, rank from (select *, row_number() over (partition by q order by score desc, d) as rank from s3) where rank <= 5""")
+def plaid_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Stage 1 counts centroid scores from their median on, which is a quantile as embeddings differ in scale; stage 3 scores decoded vectors."""
+    e, _ = _load(spark, d)
+    docs, asked = _tokens(spark, d)
+    c = _centroids(e)
+    codec = _codec(e, c)
+    coded = materialize(codec.decode(codec.encode(docs, ["d", "tok"], "v"), ["d", "tok"]), "coded")
+    least = vectors.centroid_scores(asked, c, ["q", "qtok"], "v").agg(F.round(F.percentile("score", F.lit(0.5)), 6)).first()[0]
+    return vectors.plaid_cascade(coded, asked, c, least or 0.0, 40, 5)
+
+
+#: Of plaid_search: a code counts in stage 1 from this score on; documents after stage 1 (a quarter after stage 2).
+PLAID_THRESHOLD, PLAID_NDOCS = 0.1, 1024
+
+
+def _index(e: DataFrame) -> DataFrame:
+    """Centroids of an index over e: partition_count(n) of them by k-means, on a sample by hash of about
+    index_sample_size(n) rows, which grows with the root of n. Only this fit is on a sample."""
+    n = e.count()
+    share = index_sample_size(n) / max(1, n)
+    sample = e if share >= 1 else e.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return materialize(train_centroids(sample, partition_count(n)), "centroids")
+
+
+@query()
+def plaid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade over a k-means index in which every row is coded; k-means has no SQL."""
+    e, _ = _load(spark, d)
+    docs, asked = _tokens(spark, d)
+    c = _index(e)
+    coded = docs.join(_codes(e, c).select(F.col("vec_id").alias("tok"), "code"), "tok")
+    return vectors.plaid_cascade(materialize(coded, "coded"), asked, c, PLAID_THRESHOLD, PLAID_NDOCS, 5)
