@@ -48,3 +48,28 @@ def prefix_offsets(df: DataFrame, order: str, value: str, name: str) -> DataFram
     base = parts.groupBy("_p").agg(F.sum(value).alias("c")).select("_p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return parts.join(base, "_p").withColumn(name, (F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_base")).cast("bigint")).drop("_p", "_base")
+
+
+def number_runs(df: DataFrame, by: str, order: list[str], value: str | None = None) -> DataFrame:
+    """df with `_n`, the row's number in the order of (by, order), `_group`, the number of the first row of its group, and, with a
+    value, `_run`, that of the first row of its run of equal values (a NULL is a run of its own).
+
+    A group may hold any share of the rows: windows run over range partitions, and what a partition takes over from those
+    before it (rows, last row, last starts) comes from one row per partition."""
+    keys = [by, *order]
+    parts = _ranged(df, keys)
+    inside, flow = Window.partitionBy("_p").orderBy(*keys), Window.partitionBy(F.lit(1)).orderBy("_p")
+    before = flow.rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.struct(F.col(by).alias("g"), F.col(value or by).alias("v"))
+    edge = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("c"), F.max_by(seen, F.struct(*keys)).alias("end"))
+    edge = edge.select("_p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_base"), F.lag("end").over(flow).alias("_end"))
+    rows = parts.join(edge, "_p").withColumn("_n", F.row_number().over(inside) + F.col("_base")).withColumn("_last", F.coalesce(F.lag(seen).over(inside), F.col("_end")))
+    new_group = F.col("_last").isNull() | ~F.col("_last.g").eqNullSafe(F.col(by))
+    new_run = new_group | F.coalesce(F.col("_last.v") != F.col(value or by), F.lit(True))
+    marked = materialize(rows.withColumns({"_g": F.when(new_group, F.col("_n")), "_r": F.when(new_run, F.col("_n"))}).drop("_base", "_end", "_last"), "marked")
+    carried = marked.groupBy("_p").agg(F.max("_g").alias("g"), F.max("_r").alias("r")).select("_p", F.max("g").over(before).alias("_g0"), F.max("r").over(before).alias("_r0"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = marked.join(carried, "_p").withColumn("_group", F.coalesce(F.max("_g").over(upto), F.col("_g0")))
+    if value is not None:
+        out = out.withColumn("_run", F.coalesce(F.max("_r").over(upto), F.col("_r0")))
+    return out.drop("_p", "_g", "_r", "_g0", "_r0")

@@ -5,34 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from answerforge.operators.passages import number_rows, number_runs
+
 #: Rows folded at a time by the recency-weighted mean.
 CHUNK = 1000
 
 
 def run_length_ids(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """Consecutive equal values get `value_0`, `value_1`, ...; the count starts anew with every run."""
-    w = Window.partitionBy(by).orderBy(*order)
-    started = df.withColumn("_new", F.coalesce((F.lag(value).over(w) != F.col(value)).cast("int"), F.lit(1)))
-    runs = started.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(by, "_run").orderBy(*order)
-    return runs.withColumn("run_id", F.concat(F.col(value), F.lit("_"), (F.row_number().over(inside) - 1).cast("string"))).drop("_new", "_run")
+    """Consecutive equal values get `value_0`, `value_1`, ...; the count starts anew with every run. No task gets a whole group."""
+    runs = number_runs(df, by, order, value)
+    return runs.withColumn("run_id", F.concat(F.col(value), F.lit("_"), (F.col("_n") - F.col("_run")).cast("string"))).drop("_n", "_group", "_run")
 
 
-def moving_average(df: DataFrame, by: str, order: list[str], value: str, weight: float) -> DataFrame:
+def moving_average(df: DataFrame, by: str, order: list[str], value: str, weight: float, chunk: int = CHUNK) -> DataFrame:
     """(by, average, rows): each new value enters with weight max(weight, 1/count).
 
-    The recurrence avg = (1 - w) avg + w x is linear, so chunks of CHUNK rows fold to pairs (a, b) that
-    compose; only those pairs are put in sequence per group.
+    The recurrence avg = (1 - w) avg + w x is linear, so chunks of rows fold to pairs (a, b) that compose; those are
+    folded `chunk` at a time as well, and what is put in sequence per group is one pair for chunk * chunk rows.
     """
-    numbered = df.where(F.col(value).isNotNull()).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    numbered = number_runs(df.where(F.col(value).isNotNull()), by, order).withColumn("n", F.col("_n") - F.col("_group") + 1)
     w = F.greatest(F.lit(weight), 1.0 / F.col("n"))
-    rows = numbered.select(by, "n", F.floor((F.col("n") - 1) / CHUNK).alias("chunk"), w.alias("w"), F.col(value).cast("double").alias("x"))
-    chunks = rows.groupBy(by, "chunk").agg(F.array_sort(F.collect_list(F.struct("n", "w", "x"))).alias("xs"), F.count("*").alias("rows"))
+    pairs = numbered.select(by, (F.col("n") - 1).alias("at"), F.struct((1 - w).alias("a"), (w * F.col(value).cast("double")).alias("b")).alias("f"), F.lit(1).cast("bigint").alias("rows"))
     start = F.struct(F.lit(1.0).cast("double").alias("a"), F.lit(0.0).cast("double").alias("b"))
-    step = lambda acc, r: F.struct((acc["a"] * (1 - r["w"])).alias("a"), (acc["b"] * (1 - r["w"]) + r["w"] * r["x"]).alias("b"))
-    folded = chunks.select(by, "chunk", "rows", F.aggregate("xs", start, step).alias("f"))
-    lists = folded.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("fs"), F.sum("rows").alias("rows"))
-    return lists.select(by, F.aggregate("fs", F.lit(0.0).cast("double"), lambda acc, c: c["f"]["a"] * acc + c["f"]["b"]).alias("average"), "rows")
+    step = lambda acc, f: F.struct((acc["a"] * f["a"]).alias("a"), (acc["b"] * f["a"] + f["b"]).alias("b"))
+    for level in range(3):
+        at = F.lit(0).cast("bigint") if level == 2 else F.floor(F.col("at") / chunk)
+        lists = pairs.groupBy(by, at.alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("fs"), F.sum("rows").alias("rows"))
+        pairs = lists.select(by, "at", F.aggregate(F.transform("fs", lambda x: x["f"]), start, step).alias("f"), "rows")
+    return pairs.select(by, F.col("f.b").alias("average"), "rows")
 
 
 def threshold_bucket(value: Column, thresholds: list[float]) -> Column:
@@ -49,8 +49,6 @@ def threshold_distribution(df: DataFrame, value: str, thresholds: list[float]) -
 
 def batches(df: DataFrame, order: list[str], size: int, ranks: int) -> DataFrame:
     """Fixed-size batches in the given order, and the worker that owns each."""
-    from answerforge.operators.passages import number_rows
-
     numbered = number_rows(df, order, "n")
     batch = F.floor((F.col("n") - 1) / size)
     return numbered.withColumn("batch", batch).withColumn("owner", F.pmod(batch, F.lit(ranks))).drop("n")

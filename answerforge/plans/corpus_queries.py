@@ -68,7 +68,8 @@ def run_length_ids(spark: SparkSession, d: str) -> DataFrame:
     return windows.run_length_ids(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "run_id")
 
 
-@query()
+@query("""with l as (select user_id, list(value order by ts, event_id) as xs from events where value is not null group by 1)
+select user_id, round(list_reduce(list_transform(xs, lambda x, i: {'n': i::double, 'v': x::double}), lambda p, x: {'n': x.n, 'v': p.v * (1 - greatest(0.01, 1 / x.n)) + greatest(0.01, 1 / x.n) * x.v}).v, 6) as average, len(xs) as rows from l""")
 def moving_average(spark: SparkSession, d: str) -> DataFrame:
     return windows.moving_average(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 0.01).withColumn("average", F.round("average", 6))
 
@@ -216,7 +217,14 @@ def tokenize_string(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("qa_key", F.size(F.regexp_extract_all(F.lower("question"), F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+)"), F.lit(1))).cast("bigint").alias("tokens"))
 
 
-@query()
+ROUGE_SQL = """with p as (select qa_key, string_split_regex(trim(lower(substr(context, answers.answer_start[1] + 1, length(answers.text[1])))), '\\s+') as a, string_split_regex(trim(lower(answers.text[1])), '\\s+') as b from squad_examples where context is not null and len(answers.text) > 0 and answers.answer_start[1] >= 0),
+q as (select qa_key, list_filter(a, lambda w: w <> '') as a, list_filter(b, lambda w: w <> '') as b from p),
+lcs as (select qa_key, len(a) as na, len(b) as nb, list_reduce(list_concat([{'w': '', 'r': list_transform(range(len(b) + 1), lambda x: 0)}], list_transform(a, lambda w: {'w': w, 'r': []::int[]})),
+ lambda old, x: {'w': '', 'r': list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda i: case when i > 1 and b[i - 1] = x.w then old.r[i - 1] + 1 else old.r[i] end)))}).r[-1] as common from q)
+select round(100 * avg(case when common > 0 then 2.0 * common / (na + nb) else 0 end), 4) as rouge_l, count(*) as examples from lcs"""
+
+
+@query(ROUGE_SQL)
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
     """Longest common subsequence F of each first answer and the context at its stated offset."""
     from answerforge.functions.sequence import rouge_l_f
@@ -227,7 +235,17 @@ def rouge_l(spark: SparkSession, d: str) -> DataFrame:
     return scored.agg(F.round(100 * F.avg("f"), 4).alias("rouge_l"), F.count("*").alias("examples"))
 
 
-@query()
+# White space as the splitting of a text into words takes it: all of Unicode's.
+SPACE = r"[\s\v\pZ\x{85}\x{1c}-\x{1f}]+"
+PACK_SQL = f"""with recursive p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{SPACE}|{SPACE}$', '', 'g')), lambda x: x <> '') as parts from documents where text is not null),
+s as (select doc_id, parts, list_transform(parts, lambda x: len(list_filter(string_split_regex(x, '{SPACE}'), lambda w: w <> ''))) as sizes from p where len(parts) > 0),
+-- One step a passage: it ends where 50 words are reached, before the paragraph that would pass 100, or with the document.
+e as (select doc_id, parts, sizes, 0::bigint as first, 0::bigint as stop from s union all
+ select doc_id, parts, sizes, stop, list_min(list_filter(range(stop + 1, len(sizes) + 1), lambda k: k = len(sizes) or list_sum(sizes[stop + 1:k]) >= 50 or list_sum(sizes[stop + 1:k + 1]) > 100)) from e where stop < len(sizes))
+select doc_id, first::int as first, stop::int as stop, list_sum(sizes[first + 1:stop])::bigint as words, array_to_string(parts[first + 1:stop], ' ') as passage from e where stop > first"""
+
+
+@query(PACK_SQL)
 def packed_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs packed greedily to passages of 50 to 100 words."""
     from answerforge.functions.sequence import pack_paragraphs

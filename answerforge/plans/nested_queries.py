@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from answerforge.operators import nested
 from answerforge.plans.registry import query
@@ -52,3 +53,17 @@ def p3_long_answers(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p3_annotations(spark: SparkSession, d: str) -> DataFrame:
     return nested.node_tables(_nodes(spark, d))["annotation"]
+
+
+@query("""with a as (select record_id, i as no, n from (select record_id, annotations from nq_examples where annotations is not null), unnest(annotations) with ordinality u(n, i) where n is not null),
+s as (select record_id, no, i, x from a, unnest(n.short_answers) with ordinality u(x, i) where x is not null)
+select record_id, 'long_answer' as kind, no::int as annotation_no, 0 as item_no, n.long_answer.start_byte as start_byte, n.long_answer.end_byte as end_byte, n.long_answer.start_token as start_token, n.long_answer.end_token as end_token from a where n.long_answer is not null
+union all select record_id, 'short_answer', no::int, i::int, x.start_byte, x.end_byte, x.start_token, x.end_token from s""")
+def p3_typed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the typed examples with the number of the annotation whose interval holds theirs, and all their offsets."""
+    examples = table(spark, d, "nq_examples")
+    payloads = nested.annotation_payloads(examples, table(spark, d, "nq_raw").where("false"))
+    tables = nested.node_tables(nested.label_nodes(payloads, "record_id", "payload"))
+    span = ["start_byte", "end_byte", "start_token", "end_token"]
+    long = tables["long_answer"].select("record_id", F.lit("long_answer").alias("kind"), "annotation_no", F.lit(0).alias("item_no"), *span)
+    return long.unionByName(tables["short_answer"].select("record_id", F.lit("short_answer").alias("kind"), "annotation_no", "item_no", *span))

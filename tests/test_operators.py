@@ -127,8 +127,7 @@ def test_run_length_ids(spark):
     assert got == ["abcd123_0", "abcd123_1", "abcd1234_0", "abcd123_0"]
 
 
-def test_moving_average_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(windows, "CHUNK", 7)
+def test_moving_average_over_chunks(spark):
     rng = random.Random(1)
     values = [rng.random() for _ in range(100)]
     avg = 0.0
@@ -137,6 +136,28 @@ def test_moving_average_over_chunks(spark, monkeypatch):
         avg = (1 - w) * avg + w * x
     df = spark.createDataFrame([("g", i, x) for i, x in enumerate(values)] + [("g", 200, None)], "g string, t int, v double")
     assert windows.moving_average(df, "g", ["t"], "v", 0.05).first()["average"] == pytest.approx(avg)
+    for chunk in (3, 7):
+        row = windows.moving_average(df, "g", ["t"], "v", 0.05, chunk).first()
+        assert row["average"] == pytest.approx(avg) and row["rows"] == 100
+
+
+def test_runs_across_range_partitions(spark):
+    """A group of three quarters of the rows, NULL groups and values, against a loop."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), i, rng.choice(["x", "x", "x", "y", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, t int, v string").withColumn("n", F.lit("clash"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["t"]: (r["_n"], r["_group"], r["_run"]) for r in passages.number_runs(df.repartition(5), "g", ["t"], "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    last, group, run = (object(), object()), 0, 0
+    for n, (g, t, v) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])), 1):
+        group = n if last[0] != g else group
+        run = n if last[0] != g or v is None or last[1] != v else run
+        last = (g, v)
+        assert got[t] == (n, group, run)
+    assert passages.number_runs(df.where("false"), "g", ["t"], "v").count() == 0
 
 
 def test_logical_form_dialects(spark):
