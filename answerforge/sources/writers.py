@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerforge.operators.ranking import hash_order
+from answerforge.sources.files import Folder
+
+
+#: Tab-separated fields as they are: without quotes, spaces at their ends kept.
+TAB_LINES = {"sep": "\t", "quote": "\u0000", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _describe(df: DataFrame, path: str) -> None:
-    """A sidecar with the columns, where the target is a local path."""
-    if "://" not in path:
-        Path(f"{path.rstrip('/')}.meta.json").write_text(json.dumps({"columns": df.columns, "types": [t for _, t in df.dtypes]}))
+    """A sidecar with the columns, beside the target."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    Folder(df.sparkSession, parent or ".").write(json.dumps({"columns": df.columns, "types": [t for _, t in df.dtypes]}), f"{name}.meta.json")
 
 
 def write_ranking(ranking: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -28,7 +32,7 @@ def write_corpus(docs: DataFrame, path: str, compression: str = "none") -> None:
     """id, text, title with a header; tabs and line ends in fields become spaces."""
     clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n]", " ")
     out = docs.select(F.col("pid").alias("id"), clean("text").alias("text"), clean("title").alias("title"))
-    out.write.option("sep", "\t").option("header", True).option("quote", "\u0000").option("emptyValue", "").option("compression", compression).csv(path)
+    out.write.options(**TAB_LINES).option("header", True).option("emptyValue", "").option("compression", compression).csv(path)
 
 
 def write_xor(hits: DataFrame, languages: DataFrame, path: str, most: int = 100) -> None:
@@ -62,4 +66,4 @@ def write_vectors(df: DataFrame, path: str) -> None:
 def sample_query_file(df: DataFrame, path: str, per_file: int) -> None:
     """Non-empty questions in files of at most so many lines."""
     rows = df.where(F.length(F.trim("question")) > 0).orderBy(hash_order("qid"))
-    rows.select("qid", "question").write.option("sep", "\t").option("maxRecordsPerFile", per_file).csv(path)
+    rows.select("qid", "question").write.options(**TAB_LINES).option("maxRecordsPerFile", per_file).csv(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,12 +21,16 @@ def read_stream(spark: SparkSession, folder: str, schema: StructType, fmt: str =
 
 
 def ingest_passages(stream: DataFrame, target: str, checkpoint: str, key: str = "pid") -> None:
-    """Appends what has arrived, each passage id once per run, and stops; rerunning goes on where it ended."""
+    """Appends what has arrived, each passage id once for all runs with this checkpoint, and stops; rerunning goes on where it ended.
+
+    Ids seen are the stream's state. A micro-batch is written to a folder of its own, which a retry overwrites, so
+    none is there twice; readers of the target see the column `ingest` beside the passages' own."""
+    run = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex[:12]
 
-    def add(batch: DataFrame, _no: int) -> None:
-        batch.dropDuplicates([key]).write.mode("append").parquet(target)
+    def add(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/ingest={run}-{no}")
 
-    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.dropDuplicates([key]).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def count_stream(stream: DataFrame, target: str, checkpoint: str, late: str = "10 minutes") -> None:
