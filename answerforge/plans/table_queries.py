@@ -198,3 +198,45 @@ def tfidf_similarity(spark: SparkSession, d: str) -> DataFrame:
     qlen = q.groupBy("id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qlen"))
     dots = own.select("id", "pk").join(q, "id").join(w, ["pk", "term"]).groupBy("id", "pk").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     return dots.join(length, "pk").join(qlen, "id").select("id", "pk", F.round(F.col("dot") / (F.col("len") * F.col("qlen")), 6).alias("similarity"))
+
+
+_CELL = "answer_text || case qa_key % 4 when 0 then '[12] ' when 1 then ' (in part) (x)' when 2 then '†*' else '.' end"
+NORMAL_SQL = f"""with a as (select qa_key, trim(translate(strip_accents(nfc_normalize({_CELL})), '‘’´`“”‐‑‒–—−', chr(39) || chr(39) || chr(39) || chr(39) || '""------')) as x from hybrid_questions where answer_text is not null and trim(answer_text) <> ''),
+b as (select qa_key, regexp_replace(trim(regexp_replace(x, '(\\[[^\\]]*\\]|[•♦†‡*#+])*$', '')), '( \\([^)]*\\))*$', '') as x from a),
+c as (select qa_key, regexp_replace(trim(x), '^"([^"]*)"$', '\\1') as x from b)
+select qa_key, trim(regexp_replace(lower(regexp_replace(x, '\\.$', '')), '\\s+', ' ', 'g')) as cell from c"""
+
+
+@query(NORMAL_SQL)
+def normalized_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with notes, brackets and signs at their ends, normalised for comparison."""
+    from answerforge.functions.cells import normalize_cell
+
+    k = F.col("qa_key") % 4
+    cell = F.concat("answer_text", F.when(k == 0, "[12] ").when(k == 1, " (in part) (x)").when(k == 2, "†*").otherwise("."))
+    return table(spark, d, "hybrid_questions").where("answer_text is not null and trim(answer_text) <> ''").select("qa_key", normalize_cell(cell).alias("cell"))
+
+
+@query("select qa_key, url_decode(table_id) as key from hybrid_questions where table_id is not null")
+def document_keys(spark: SparkSession, d: str) -> DataFrame:
+    from answerforge.functions.cells import document_key
+
+    return table(spark, d, "hybrid_questions").where("table_id is not null").select("qa_key", document_key(F.col("table_id")).alias("key"))
+
+
+@query("select vec_id, len(embedding) as dims, true as near from embeddings where embedding is not null")
+def half_precision_text(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors through base64 of half-precision floats: every value within a half-precision step."""
+    from answerforge.functions.cells import text_to_vector, vector_to_text
+
+    e = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", "embedding", text_to_vector(vector_to_text(F.col("embedding"))).alias("back"))
+    near = F.forall(F.zip_with("embedding", "back", lambda a, b: F.abs(a - b) <= F.abs(a) / 1024 + 1e-7), lambda x: x)
+    return e.select("vec_id", F.size("back").cast("bigint").alias("dims"), near.alias("near"))
+
+
+@query("select doc_id, text from documents where text is not null")
+def compressed_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts through compression and back."""
+    from answerforge.functions.cells import compress_text, decompress_text
+
+    return table(spark, d, "documents").where("text is not null").select("doc_id", decompress_text(compress_text(F.col("text"))).alias("text"))

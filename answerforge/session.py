@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,9 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
         home = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="answerforge-")) / "answerforge.zip"
+        folder = tempfile.mkdtemp(prefix="answerforge-")  # the driver's own copy; Spark sends it to the executors
+        atexit.register(shutil.rmtree, folder, True)
+        target = Path(folder) / "answerforge.zip"
         with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
             for f in sorted(home.rglob("*.py")):
                 z.write(f, f.relative_to(home.parent))
@@ -88,11 +91,33 @@ def clean_shared(folder: str, spark: SparkSession) -> None:
         pass
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialize` writes inside the block are removed at its end: for a long-lived driver, around one query and
+    the action on its result. Without it they go when the driver's Python ends."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            clean_shared(path, spark)
+
+
+def _new_table(spark: SparkSession, name: str) -> str:
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives the loss of executors,
     and gives the planner the true size for later broadcast decisions."""
     spark = df.sparkSession
-    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _new_table(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -104,7 +129,7 @@ def materialize_all(parts: Iterator[DataFrame], name: str = "t") -> DataFrame |
     for df in parts:
         if path is None:
             spark, schema = df.sparkSession, df.schema
-            path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+            path = _new_table(spark, name)
         df.write.mode("append").option("compression", "zstd").parquet(path)
     return None if path is None else spark.read.schema(schema).parquet(path)
 

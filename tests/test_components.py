@@ -117,3 +117,62 @@ def test_schema_check_and_defaults(spark):
     assert prepare.validate_schema(df, "a bigint, c string") == ["a: int instead of bigint", "c: missing instead of string"]
     assert prepare.search_defaults(10)["ndocs"] == 256 and prepare.search_defaults(2000)["ndocs"] == 8000
     assert prepare.partition_count(10_000) == 512
+
+
+def test_http_server(spark, tmp_path):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from answerforge.server import serve
+
+    server = serve(spark, str(tmp_path), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def ask(path, body=None):
+        try:
+            with urlopen(Request(base + path, json.dumps(body).encode() if body is not None else None, method="POST" if body is not None else "GET")) as r:
+                return r.status, json.loads(r.read())
+        except HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        status, made = ask("/indexes", {"documents": [{"doc_id": 1, "title": "T", "text": "red hill"}, {"doc_id": 2, "text": "blue sea"}], "config": {"k": 1}})
+        assert status == 201
+        index = made["index_id"]
+        assert ask(f"/indexes/{index}") == (200, {"index_id": index, "state": "READY"})
+        assert [i["index_id"] for i in ask("/indexes")[1]] == [index]
+        status, hits = ask("/retrieve", {"index_id": index, "queries": ["a red one", "sea", "nothing"]})
+        assert status == 200 and [[h["document"]["doc_id"] for h in hs] for hs in hits] == [[1], [2], []]
+        assert ask(f"/indexes/{index}/documents?ids=2")[1][0]["text"] == "blue sea"
+        assert ask("/retrieve", {"index_id": "none", "queries": ["x"]})[0] == 400 and ask("/indexes/none")[0] == 404
+        assert ask("/nowhere")[0] == 404 and len(ask("/retrievers")[1]) == 2
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_bm25_index_agrees_with_the_scan(spark, tmp_path):
+    from answerforge.operators import sparse
+
+    texts = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 3 + i % 20))) for i in range(200)] + [(900, None), (901, ""), (902, "...")]
+    d = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("h", F.lit("clash"))
+    q = spark.createDataFrame([("a", "w1 w2 w2"), ("b", "W3 unknown"), ("c", "unknown"), ("d", None), ("e", "")], "qid string, query string")
+    sparse.BM25Index.build(d, str(tmp_path / "i"))
+    found = sorted(map(tuple, sparse.BM25Index(spark, str(tmp_path / "i")).search(q, 7).collect()))
+    assert found == sorted(map(tuple, sparse.bm25_topk(d, q, 7).collect())) and {r[0] for r in found} == {"a", "b"}
+    sparse.BM25Index.build(d.where("false"), str(tmp_path / "none"))
+    assert sparse.BM25Index(spark, str(tmp_path / "none")).search(q, 7).count() == 0
+
+
+def test_temporary_tables_are_removed(spark):
+    import os
+
+    from answerforge.session import materialize, temporary_tables
+
+    with temporary_tables(spark):
+        path = materialize(spark.range(3)).inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)

@@ -74,3 +74,19 @@ def test_greedy_ranges():
     assert sequence.greedy_ranges([20, 40, 60, 10, 5], 50, 100) == [(0, 2), (2, 3), (3, 5)]
     assert sequence.greedy_ranges([], 50, 100) == []
     assert sequence.greedy_ranges([200, 1], 50, 100) == [(0, 1), (1, 2)]
+
+
+def test_cells_keys_and_encodings(spark):
+    from answerforge.functions import cells
+
+    given = ["Café [1]", '"Quoted"', "A – B†‡", "x (note) (more)", "[1]", "(all)", "End.", "  Two   words ", "<b>Bold</b>", "", None]
+    expected = ["cafe", "quoted", "a - b", "x", "", "(all)", "end", "two words", "bold", "", None]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, c string")
+    assert [r["x"] for r in df.select("i", cells.normalize_cell(F.col("c")).alias("x")).orderBy("i").collect()] == expected
+    urls = spark.createDataFrame([("a%20b+c",), ("100%",), (None,)], "u string")
+    assert [r["k"] for r in urls.select(cells.document_key(F.col("u")).alias("k")).collect()] == ["a b+c", "100%", None]
+    v = spark.createDataFrame([(1, [1.0, -0.5, 3.25]), (2, []), (3, None)], "i int, v array<float>")
+    back = v.select("i", cells.text_to_vector(cells.vector_to_text(F.col("v"))).alias("b")).orderBy("i").collect()
+    assert [r["b"] for r in back] == [[1.0, -0.5, 3.25], [], None]
+    t = df.select(cells.decompress_text(cells.compress_text(F.col("c"))).alias("b"))
+    assert {r["b"] for r in t.collect()} == set(given)
