@@ -2,7 +2,8 @@
 
 1. Word counts over all documents go into a table of fixed size (2^18 shared counters): rarity.
 2. One pass gives every document its features: length, lexical diversity, word rarity, connectives,
-   clause depth and word length, from vectorised word hashes. The language is told by function words.
+   clause depth and word length, from vectorised word hashes. The language is told by function words;
+   texts with none of them are a group of their own.
 3. Features are standardised per language with means and deviations over all documents.
 4. A proportional-odds model with a quadratic penalty is fitted to the median rating of the rated
    documents, at most MAX_RATED of them (those with the least hash of their id); its thresholds
@@ -45,9 +46,9 @@ _BANDS = np.array([-6.0, -5.0, -4.5, -4.0, -3.5, -3.0, -2.5, -2.0])
 _END = re.compile(r"[.!?…]+(?=\s|$)")
 FEATURES = (
     *(f"rarity_{i}" for i in range(len(_BANDS) + 1)),
-    "mean_rarity", "mean_length", "long_8", "long_10", "long_13", "diversity", "words_per_end", "commas", "semicolons", "easy", "middle", "hard", "clauses", "log_words", "common_long",
+    "mean_rarity", "mean_length", "long_8", "long_10", "long_13", "diversity", "words_per_end", "commas", "semicolons", "easy", "middle", "hard", "clauses", "log_words", "common_long", "depth",
 )
-LANGS = tuple(FUNCTION_WORDS)
+LANGS = (*FUNCTION_WORDS, "other")
 
 
 def _hash_words(words: str) -> np.ndarray:
@@ -99,8 +100,10 @@ class Extractor:
             *bands.T, mean(rare), mean(length), share(length >= 8), share(length >= 10), share(length >= 13), distinct / np.sqrt(total),
             np.log1p(counts / sentences), marks[:, 1] / total, marks[:, 2] / total, links["easy"], links["middle"], links["hard"],
             np.log1p((marks[:, 1] + marks[:, 2]) / sentences), np.log1p(counts), share((length >= 9) & (rare > -4.5)),
+            np.log1p((links["middle"] + links["hard"]) * total / sentences + marks[:, 1] / sentences),
         ]
-        spoken = np.stack([share(_member(hashes, v)) for v in self.lang.values()], 1).argmax(1)
+        told = np.stack([share(_member(hashes, v)) for v in self.lang.values()], 1)
+        spoken = np.where(told.max(1) > 0, told.argmax(1), len(LANGS) - 1)
         return np.stack(cols, 1), spoken
 
 
