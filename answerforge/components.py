@@ -180,10 +180,10 @@ class Pipeline:
 
     def run(self, queries: DataFrame, docs: DataFrame) -> DataFrame:
         """(qid, answer, confidence, doc_id); a query without a hit keeps a row without answer."""
-        hits = self.retriever.retrieve(queries, docs).select("qid", "doc_id")
+        hits = self.retriever.retrieve(queries, docs).select("qid", "doc_id", "rank")
         pairs = hits.join(docs.select("doc_id", "text"), "doc_id").join(queries.select("qid", "query"), "qid")
         if self.reranker:
-            pairs = pairs.join(self.reranker.rerank(pairs).select("qid", "doc_id"), ["qid", "doc_id"])
+            pairs = pairs.drop("rank").join(self.reranker.rerank(pairs).select("qid", "doc_id", "rank"), ["qid", "doc_id"])
         return queries.select("qid").join(self.reader.read(pairs), "qid", "left")
 
     def preview(self, queries: DataFrame, docs: DataFrame, n: int = 3, chars: int = 200) -> DataFrame:
@@ -192,7 +192,65 @@ class Pipeline:
         return hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("previews"))
 
 
-_REGISTRY: dict[str, type] = {c.__name__: c for c in (SparseRetriever, VectorRetriever, HashingEmbedder, OverlapScorer, OverlapReranker, SentenceReader)}
+@runtime_checkable
+class TextGenerator(Protocol):
+    def answer(self, prompt: Column) -> Column:
+        """prompt -> answer: an expression, or a pandas UDF around a model or a service."""
+
+
+@dataclass
+class EchoGenerator(Component):
+    """The first sentence of the context that the prompt holds: the offline stand-in for a generative model."""
+
+    def answer(self, prompt: Column) -> Column:
+        return F.regexp_extract(prompt, r"Context: (.*?[.!?])(?=\s|$)", 1)
+
+
+@dataclass
+class PromptReader(Component):
+    """Prompts from the contexts in rank order, answered by a pluggable generator; of a query, one row."""
+
+    contexts: int = parameter(3, "contexts in a prompt")
+    prefix: str = parameter("", "text before the question")
+    suffix: str = parameter("Answer:", "text after the contexts")
+    generator: TextGenerator = field(default_factory=EchoGenerator)
+
+    def read(self, contexts: DataFrame) -> DataFrame:
+        rank = F.col("rank") if "rank" in contexts.columns else F.lit(0)
+        lists = contexts.groupBy("qid", "query").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "doc_id", "text"))).alias("cs"))
+        texts = F.transform(F.slice("cs", 1, self.contexts), lambda c: c["text"])
+        asked = lists.select("qid", prompt(F.col("query"), texts, self.prefix, self.suffix).alias("prompt"), F.col("cs")[0]["doc_id"].alias("doc_id"))
+        return asked.select("qid", self.generator.answer(F.col("prompt")).alias("answer"), F.lit(1.0).alias("confidence"), "doc_id")
+
+
+class SearchableCorpus:
+    """Add and search: passages go to an index in `folder` that every search uses; further ones may be added."""
+
+    def __init__(self, spark: SparkSession, folder: str, retriever=None):
+        self.spark, self.folder, self.retriever = spark, folder.rstrip("/"), retriever or SparseRetriever()
+
+    def add(self, docs: DataFrame) -> None:
+        """(doc_id, title, text); the index is built anew over all passages added so far."""
+        text = F.concat_ws(" ", F.when(F.col("title") != "", F.col("title")), F.col("text"))
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "title", "text", text.alias("searched")).write.mode("append").parquet(f"{self.folder}/documents")
+        if isinstance(self.retriever, SparseRetriever):
+            sparse.BM25Index.build(self.documents(), f"{self.folder}/index", text="searched", k1=self.retriever.k1, b=self.retriever.b)
+
+    def documents(self) -> DataFrame:
+        return self.spark.read.schema("doc_id bigint, title string, text string, searched string").parquet(f"{self.folder}/documents")
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        """(qid, doc_ids, scores) in rank order for queries (qid, query); a query without a hit has empty arrays."""
+        if isinstance(self.retriever, SparseRetriever):
+            found = sparse.BM25Index(self.spark, f"{self.folder}/index", self.retriever.k1, self.retriever.b).search(queries, self.retriever.k)
+        else:
+            found = self.retriever.retrieve(queries, self.documents().select("doc_id", F.col("searched").alias("text")))
+        lists = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("hits"))
+        out = queries.select("qid").distinct().join(lists, "qid", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<rank:bigint,doc_id:bigint,score:double>>")))
+        return out.select("qid", F.transform("hits", lambda h: h["doc_id"]).alias("doc_ids"), F.transform("hits", lambda h: h["score"]).alias("scores"))
+
+
+_REGISTRY: dict[str, type] = {c.__name__: c for c in (SparseRetriever, VectorRetriever, HashingEmbedder, OverlapScorer, OverlapReranker, SentenceReader, EchoGenerator, PromptReader)}
 
 
 def register(cls: type) -> type:

@@ -250,3 +250,35 @@ def passage_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Passage ids with boundary notation taken apart: document, first and last paragraph, closed or open end."""
     ids = table(spark, d, "retrieval_triples").select(F.explode("negatives").alias("x")).where("x is not null").select(F.col("x.pid").alias("pid")).where("pid like '%::%'").distinct()
     return ids.select("pid", F.substring_index("pid", "::", 1).alias("doc"), F.regexp_extract("pid", r"::[\[(](\d+),", 1).try_cast("bigint").alias("first"), F.regexp_extract("pid", r",(\d+)[\])]$", 1).try_cast("bigint").alias("last"), F.endswith("pid", F.lit("]")).alias("closed"))
+
+
+@query("""with a as (select qa_key, context, unnest(list_distinct(answers.text)) as answer from squad_examples where context is not null and answers.text is not null),
+r as (select *, row_number() over (partition by qa_key order by md5(concat_ws('|', qa_key::varchar || '|' || answer, '3')), answer) as n from a where trim(answer) <> '')
+select qa_key, answer, answer || ' <<sep>> ' || context as target from r where n <= 2""")
+def answer_targets(spark: SparkSession, d: str) -> DataFrame:
+    """At most two answers of each context as inputs of a question generator."""
+    from answerforge.operators.synthesis import answer_targets
+
+    return answer_targets(table(spark, d, "squad_examples"), "qa_key", "context", F.col("answers.text"), 2, 3)
+
+
+@query(f"""with w as (select doc_id as pid, {UNI.format(c="text")}[1:8] as ws from documents where text is not null)
+select pid || '-1' as qid, 'what about ' || array_to_string(ws, ' ') || '?' as question, pid from w where len(ws) >= 1""")
+def synthetic_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Two draws a passage from a deterministic generator, whose second question is the first again and goes."""
+    from answerforge.operators.synthesis import LeadGenerator, synthetic_questions
+
+    return synthetic_questions(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text"), LeadGenerator(), 2)
+
+
+@query("select 0::bigint as clashes, true as complete, true as within_size")
+def conflict_free_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What the batches must hold: no positive is another's negative in its batch, and no instance is lost."""
+    run, judged = _run(spark, d)
+    triples = materialize(ranking.mine_triples(run, judged, 2).select("qid", "pos", "neg"), "triples")
+    dealt = materialize(prepare.conflict_free_batches(triples, 32), "batches")
+    other = dealt.select("batch", F.col("pos").alias("neg"), F.col("qid").alias("other"))
+    clashes = dealt.join(other, ["batch", "neg"]).where("qid <> other").count()
+    lost = triples.exceptAll(dealt.select("qid", "pos", "neg")).count() + dealt.select("qid", "pos", "neg").exceptAll(triples).count()
+    largest = dealt.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
+    return spark.createDataFrame([(clashes, lost == 0, largest <= 3 * 32)], "clashes bigint, complete boolean, within_size boolean")

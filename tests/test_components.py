@@ -176,3 +176,41 @@ def test_temporary_tables_are_removed(spark):
         path = materialize(spark.range(3)).inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_searchable_corpus(spark, docs, queries, tmp_path):
+    for retriever in (components.SparseRetriever(k=2), components.VectorRetriever(k=2)):
+        corpus = components.SearchableCorpus(spark, str(tmp_path / type(retriever).__name__), retriever)
+        corpus.add(spark.createDataFrame([(1, "Hill", "red stone"), (2, "", "blue sea")], "doc_id bigint, title string, text string"))
+        asked = spark.createDataFrame([("a", "hill"), ("b", "deep sea"), ("c", "zzz")], "qid string, query string")
+        first = {r["qid"]: r["doc_ids"] for r in corpus.search(asked).collect()}
+        assert first["a"][0] == 1 and first["b"][0] == 2
+        corpus.add(spark.createDataFrame([(3, None, "deep blue sea")], "doc_id bigint, title string, text string"))
+        again = {r["qid"]: (r["doc_ids"], r["scores"]) for r in corpus.search(asked).collect()}
+        assert again["b"][0][0] == 3 and all(len(i) == len(s) for i, s in again.values())
+    assert first["c"] is not None
+
+
+def test_prompted_pipeline(spark):
+    docs = spark.createDataFrame([(1, "The hill is red. It is old."), (2, "The sea is blue.")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([("a", "what is the hill"), ("b", "zzz")], "qid string, query string")
+    made = components.Pipeline(components.SparseRetriever(k=2), components.PromptReader(contexts=1), components.OverlapReranker())
+    got = {r["qid"]: r["answer"] for r in made.run(asked, docs).collect()}
+    assert got == {"a": "The hill is red.", "b": None}
+
+
+def test_synthetic_questions(spark):
+    from answerforge.operators import synthesis
+
+    passages = spark.createDataFrame([(1, "Red stone hill in the north"), (2, None), (3, ""), (4, "x")], "pid bigint, text string")
+    examples = spark.createDataFrame([("why?",), (None,), ("how?",)], "question string")
+
+    class Joined:
+        def generate(self, passage, example):
+            return F.concat(example, F.lit(" "), passage)
+
+    got = synthesis.synthetic_questions(passages, Joined(), 6, examples, 3).collect()
+    assert {r["pid"] for r in got} == {1} and {r["question"].split("?")[0] for r in got} == {"why", "how"}
+    assert len({r["qid"] for r in got}) == len(got) == 2
+    targets = synthesis.answer_targets(spark.createDataFrame([(1, "t", ["a", "a", "b", "c", " ", None]), (2, None, ["a"]), (3, "u", None)], "k int, t string, a array<string>"), "k", "t", F.col("a"), 2).collect()
+    assert len(targets) == 2 and all(r["target"] == r["answer"] + " <<sep>> t" for r in targets)
