@@ -80,10 +80,15 @@ def _spread(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """First characters and hashes of the words of a normalised text."""
+    """First and last characters and hashes of the words of a normalised text."""
 
     def __init__(self, raw: bytes):
         self.starts, self.hashes = word_hashes(np.frombuffer(raw + b" ", np.uint8))
+        self.ends = np.append(self.starts[1:] - 1, len(raw))
+
+    def inside(self, first: int, last: int) -> int:
+        """Number of words that lie whole in the characters first .. last - 1."""
+        return max(0, int(np.searchsorted(self.ends, last, "right")) - int(np.searchsorted(self.starts, first, "left")))
 
 
 def least_shared(words: Words, size: int, min_words: int, q: int) -> int:
@@ -186,9 +191,9 @@ class Index:
                 yield doc[again], self.slot[rows] % len(self.texts), at[again], place[again] + self.shift[rows], size[again]
 
 
-def regions(index: Index, doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int, int, int, int, int]]:
+def regions(index: Index, doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray) -> list[tuple[int, ...]]:
     """(bound on the score, bound on the run, document, item, first diagonal of the band, first position, last
-    position) of bands with enough shared q-grams in which a passage is possible, greatest bounds first.
+    position, and position, item position and length of the longest run) of bands with enough shared q-grams in which a passage is possible, greatest bounds first.
 
     In an alignment at least one edit lies between two runs of shared q-grams, and equal words outside of runs come in pieces shorter
     than q characters. Where no such piece of the item holds more than PENALTY words it doesn't pay for its edit, so no score
@@ -215,7 +220,7 @@ def regions(index: Index, doc: np.ndarray, item: np.ndarray, at: np.ndarray, pla
         whole = index.words_inside(o[head], p[head], length)
         group = np.cumsum(new)[head] - 1
         by_place = np.lexsort((first[head], group))
-        group, whole = group[by_place], whole[by_place]
+        group, whole, head, length = group[by_place], whole[by_place], head[by_place], length[by_place]
         paid = np.cumsum(whole - PENALTY)
         before = paid - (whole - PENALTY)
         low = np.minimum.accumulate(before - group * (1 << 40)) + group * (1 << 40)
@@ -223,10 +228,12 @@ def regions(index: Index, doc: np.ndarray, item: np.ndarray, at: np.ndarray, pla
         bound = np.maximum.reduceat(paid - low + PENALTY, inner)
         bound[index.dense[o[starts]]] = 1 << 30
         run = np.maximum.reduceat(whole, inner)
+        after = np.append(inner[1:], len(group))
         begin, last = np.minimum.reduceat(first, starts), np.maximum.reduceat(first + n, starts)
         for i in np.flatnonzero(rich & (bound >= index.min_words)):
             s = starts[i]
-            out.append((int(bound[i]), int(run[i]), int(d[s]), int(o[s]), int(b[s]) * BAND - half, int(begin[i]), int(last[i])))
+            top = inner[i] + int(whole[inner[i] : after[i]].argmax())
+            out.append((int(bound[i]), int(run[i]), int(d[s]), int(o[s]), int(b[s]) * BAND - half, int(begin[i]), int(last[i]), int(first[head[top]]), int(p[head[top]]), int(length[top])))
     return sorted(out, reverse=True)
 
 
@@ -267,15 +274,19 @@ def scan(index: Index, keys: list[int], texts: list[str | None]) -> list[tuple]:
     words: dict[int, Words] = {}
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for part in index.expanded((runs[0] - starts[doc], *runs[1:]), doc):
-        for bound, possible, d, o, low, at, end in regions(index, *part):
+        for bound, possible, d, o, low, at, end, text_at, item_at, length in regions(index, *part):
             points, _, run = best.get((d, o), (0, 0, 0))
             if bound <= points and possible <= run:
                 continue
             if d not in words:
                 words[d] = Words(raw[d])
             text = words[d]
-            first, last = np.searchsorted(text.starts, (at - BAND, end + BAND))
-            points, edits, run = align(text, int(first), int(last), index.words[o], low, low + BAND - 1)
+            item = index.words[o]
+            if bound == possible == min(text.inside(text_at, text_at + length), item.inside(item_at, item_at + length)):
+                points, edits, run = bound, 0, bound  # nothing beats this run, and all its words are equal
+            else:
+                first, last = np.searchsorted(text.starts, (at - BAND, end + BAND))
+                points, edits, run = align(text, int(first), int(last), item, low, low + BAND - 1)
             if points >= index.min_words:
                 old = best.get((d, o), (0, 0, 0))
                 best[d, o] = (*max(old[:2], (points, -edits)), max(old[2], run))
