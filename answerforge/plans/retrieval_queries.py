@@ -87,11 +87,11 @@ def rerank_pairs(spark: SparkSession, d: str) -> DataFrame:
     return components.OverlapReranker(keep=5).rerank(_pairs(spark, d))
 
 
-@query(f"with {PAIRS} select qid, count(*) as passages, string_agg(doc_id || ':' || printf('%.4f', score), ',' order by score desc, doc_id) as scores from scored group by 1")
+@query(f"with {PAIRS} select qid, count(*) as passages, string_agg(doc_id || ':' || printf('%.6f', score), ',' order by score desc, doc_id) as scores from scored group by 1")
 def distillation_scores(spark: SparkSession, d: str) -> DataFrame:
     """All scored passages of each query, best first."""
     lists = components.distillation_scores(_pairs(spark, d), components.OverlapScorer())
-    text = F.array_join(F.transform("scores", lambda x: F.concat(x["doc_id"], F.lit(":"), F.format_string("%.4f", x["score"]))), ",")
+    text = F.array_join(F.transform("scores", lambda x: F.concat(x["doc_id"], F.lit(":"), F.format_string("%.6f", x["score"]))), ",")
     return lists.select("qid", F.size("scores").cast("bigint").alias("passages"), text.alias("scores"))
 
 
