@@ -30,7 +30,8 @@ from answerforge.session import materialize
 
 MAX_RATED = 20_000
 LEVELS = 4
-# Function words that tell the language, and connectives by what they demand of the reader.
+# Fixed values, chosen by hand for this module from the common grammar words of each language: function words that tell the
+# language, and connectives by what they demand of the reader.
 FUNCTION_WORDS = {
     "en": "the of and to in that was with from by",
     "fr": "le la les des du un une dans sous avec sur",
