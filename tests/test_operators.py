@@ -63,6 +63,68 @@ def test_bm25_against_loops(spark):
     assert got.where("qid = 'q1'").count() == 2
 
 
+def bm25_loops(texts, asked, k, k1=0.9, b=0.4):
+    avg = sum(map(len, texts.values())) / len(texts)
+    df = {}
+    for ws in texts.values():
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+    out = []
+    for q, terms in asked.items():
+        scored = []
+        for i, ws in texts.items():
+            s = sum(math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * ws.count(w) / (ws.count(w) + k1 * (1 - b + b * len(ws) / avg)) for w in terms if w in ws)
+            if s:
+                scored.append((-round(s, 6), i))
+        out += [(q, i, round(-s, 5), r) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+def mixed_texts(seed=5):
+    """Texts with many ties, and queries of words that most, few and no texts hold."""
+    rng = random.Random(seed)
+    common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(150)]
+    texts = {i: [w for w in common if rng.random() < 0.6] * rng.randint(1, 2) + rng.sample(rare, rng.randint(0, 3)) for i in rng.sample(range(10000), 500)}
+    asked = {f"q{i}": rng.choices(common, k=rng.randint(0, 3)) + rng.choices([*rare, "none"], k=rng.randint(1, 4)) for i in range(120)}
+    return texts, asked | {"one": ["r1"], "all": common + rare, "nothing": ["none"]}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"STEP": 7, "CELLS": 300, "COMMON_PART": 4}, {"COMMON_TERMS": 2, "CELLS": 12}, {"COMMON_PART": 0}])
+def test_scorer_of_common_and_rare_terms(monkeypatch, bounds):
+    import pyarrow as pa
+
+    from answerforge.operators.topk import SparseTopK
+
+    for name, value in bounds.items():
+        monkeypatch.setattr(sparse, name, value)
+    monkeypatch.setattr(SparseTopK, "GATHERED", 50)
+    monkeypatch.setattr(SparseTopK, "MERGED", 17)
+    texts, asked = mixed_texts()
+    number = {w: n for n, w in enumerate(sorted({w for ws in [*texts.values(), *asked.values()] for w in ws}))}
+    held = list(sparse._counted(None)(pa.RecordBatch.from_arrays([pa.array(part), pa.array([[number[w] for w in texts[i]] for i in part], pa.list_(pa.int64()))], names=["doc_id", "terms"]) for part in (list(texts)[:290], list(texts)[290:])))
+    vocabulary = np.arange(len(number))
+    df = np.bincount(np.concatenate([b.column(2).flatten().to_numpy() for b in held]), minlength=len(number))
+    names, each = list(asked), [np.unique([number[w] for w in ws], return_counts=True) for ws in asked.values()]
+    q = np.repeat(np.arange(len(names)), [len(t) for t, _ in each])
+    block = sparse._Asked(vocabulary, df, len(texts), q, np.concatenate([t for t, _ in each]), np.concatenate([n for _, n in each]))
+    got = []
+    for piece in block.pieces():
+        for batch in sparse._scorer(piece, sum(map(len, texts.values())) / len(texts), 5, 0.9, 0.4)(iter(held)):
+            ranked = sparse.best(*(c.to_numpy() for c in batch.columns), 5)
+            got += [(names[a], i, round(s, 5), r + 1) for a, i, s, r in zip(*(x.tolist() for x in ranked), strict=True)]
+    assert sorted(got) == bm25_loops(texts, asked, 5)
+
+
+def test_bm25_index_gives_what_loops_give_without_joining_postings(spark, tmp_path):
+    texts, asked = mixed_texts(6)
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in texts.items()], "doc_id bigint, text string").repartition(3)
+    queries = spark.createDataFrame([*((q, " ".join(ws)) for q, ws in asked.items()), ("all", "c1")], "qid string, query string")
+    asked["all"] = [*asked["all"], "c1"]
+    found = sparse.BM25Index.build(docs, str(tmp_path / "i")).search(queries, 5)
+    assert [(q, i, round(s, 5), r) for q, i, s, r in rows(found)] == bm25_loops(texts, asked, 5)
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
 def test_bm25_of_empty_tables(spark):
     docs, queries = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([("q", "a")], "qid string, query string")
     assert sparse.bm25_topk(docs, queries).count() == 0
