@@ -33,10 +33,14 @@ CLOSE = """jud as (select qid, doc_id from (select qid, doc_id, row_number() ove
 BM10 = "with " + bm25_sql(0.9, 10)
 
 
-def _bm25(spark: SparkSession, d: str, k1: float = 0.9, k: int = 10) -> DataFrame:
+def _bm25_rankings(spark: SparkSession, d: str, parameters: list[tuple[float, float]], k: int = 10) -> list[DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "text")
     queries = table(spark, d, "retrieval_triples").select(F.col("id").alias("qid"), "query").where("query is not null")
-    return sparse.bm25_topk(docs, queries, k, k1)
+    return sparse.bm25_rankings(docs, queries, parameters, k)
+
+
+def _bm25(spark: SparkSession, d: str, k1: float = 0.9, k: int = 10) -> DataFrame:
+    return _bm25_rankings(spark, d, [(k1, 0.4)], k)[0]
 
 
 def _judged(run: DataFrame) -> DataFrame:
@@ -114,7 +118,7 @@ def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
 select qid, doc_id, score, new_rank as rank from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, rank desc, doc_id desc) as new_rank from u) where new_rank <= 10""")
 def merge_rankings(spark: SparkSession, d: str) -> DataFrame:
     """Two rankings of different parameters merged."""
-    return ranking.merge_rankings([_bm25(spark, d), _bm25(spark, d, 0.8)], 10)
+    return ranking.merge_rankings(_bm25_rankings(spark, d, [(0.9, 0.4), (0.8, 0.4)]), 10)
 
 
 @query(BM10 + ", u as (select * from bm union all select qid, doc_id, score, rank + 1 as rank from bm where rank <= 5) select qid, doc_id, score, rank from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, u.rank desc, doc_id desc) as rank from u) where rank <= 12")

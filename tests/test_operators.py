@@ -146,6 +146,20 @@ def test_merge_rankings_order(spark):
     assert [(x["doc_id"], x["rank"]) for x in got] == [(3, 1), (1, 2), (2, 3), (1, 4)]
 
 
+def test_merged_rankings_cut_the_texts_into_words_once(spark, sf, monkeypatch):
+    calls, plain = [], sparse.counted
+    monkeypatch.setattr(sparse, "counted", lambda *args: calls.append(args) or plain(*args))
+    assert load_queries()[0]["merge_rankings"](spark, sf).count() > 0 and len(calls) == 1
+
+
+def test_rankings_of_several_parameters(spark):
+    texts, asked = mixed_texts(7)
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in texts.items()], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(q, " ".join(ws)) for q, ws in asked.items()], "qid string, query string")
+    for (k1, b), found in zip(((0.9, 0.4), (2.0, 0.9)), sparse.bm25_rankings(docs, queries, [(0.9, 0.4), (2.0, 0.9)], 4), strict=True):
+        assert [(q, i, round(s, 5), r) for q, i, s, r in rows(found)] == bm25_loops(texts, asked, 4, k1, b)
+
+
 def test_split_by_offset_wraps(spark):
     df = spark.createDataFrame([(3,), (12,), (25,)], "qid bigint")
     assert rows(ranking.split_by_offset(df, 10).select("qid", "split")) == [(2, 0), (3, -1), (5, 1)]
