@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import importlib
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
 from functools import lru_cache
@@ -224,20 +225,25 @@ class PromptReader(Component):
 
 
 class SearchableCorpus:
-    """Add and search: passages go to an index in `folder` that every search uses; further ones may be added."""
+    """Add and search: passages go to an index in `folder` that every search uses; further ones may be added, at the cost of these only."""
 
     def __init__(self, spark: SparkSession, folder: str, retriever=None):
         self.spark, self.folder, self.retriever = spark, folder.rstrip("/"), retriever or SparseRetriever()
 
     def add(self, docs: DataFrame) -> None:
-        """(doc_id, title, text); the index is built anew over all passages added so far."""
-        text = F.concat_ws(" ", F.when(F.col("title") != "", F.col("title")), F.col("text"))
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "title", "text", text.alias("searched")).write.mode("append").parquet(f"{self.folder}/documents")
+        """(doc_id, title, text); the index gets these passages, and those added before are left as they are."""
+        part = uuid.uuid4().hex
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "title", "text", F.lit(part).alias("part"))
+        rows.write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/documents")
         if isinstance(self.retriever, SparseRetriever):
-            sparse.BM25Index.build(self.documents(), f"{self.folder}/index", text="searched", k1=self.retriever.k1, b=self.retriever.b)
+            sparse.BM25Index(self.spark, f"{self.folder}/index", self.retriever.k1, self.retriever.b).add(self._stored().where(F.col("part") == part), text="searched")
+
+    def _stored(self) -> DataFrame:
+        text = F.concat_ws(" ", F.when(F.col("title") != "", F.col("title")), F.col("text"))
+        return self.spark.read.schema("doc_id bigint, title string, text string, part string").parquet(f"{self.folder}/documents").withColumn("searched", text)
 
     def documents(self) -> DataFrame:
-        return self.spark.read.schema("doc_id bigint, title string, text string, searched string").parquet(f"{self.folder}/documents")
+        return self._stored().drop("part")
 
     def search(self, queries: DataFrame) -> DataFrame:
         """(qid, doc_ids, scores) in rank order for queries (qid, query); a query without a hit has empty arrays."""

@@ -191,6 +191,22 @@ def test_searchable_corpus(spark, docs, queries, tmp_path):
     assert first["c"] is not None
 
 
+def test_adding_to_a_corpus_leaves_what_it_has(spark, tmp_path):
+    corpus = components.SearchableCorpus(spark, str(tmp_path / "c"))
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "c").rglob("*.parquet")}
+
+    corpus.add(spark.createDataFrame([(1, "Hill", "red stone")], "doc_id bigint, title string, text string"))
+    first = files()
+    corpus.add(spark.createDataFrame([(2, "", "blue stone stone")], "doc_id bigint, title string, text string"))
+    assert first.items() <= files().items()
+    assert spark.read.parquet(str(tmp_path / "c/documents")).columns == ["doc_id", "title", "text", "part"]  # no second copy of the text
+    asked = spark.createDataFrame([("a", "stone"), ("b", "hill")], "qid string, query string")
+    assert {r["qid"]: r["doc_ids"] for r in corpus.search(asked).collect()} == {"a": [2, 1], "b": [1]}
+    assert {(r["doc_id"], r["searched"]) for r in corpus.documents().collect()} == {(1, "Hill red stone"), (2, "blue stone stone")}
+
+
 def test_prompted_pipeline(spark):
     docs = spark.createDataFrame([(1, "The hill is red. It is old."), (2, "The sea is blue.")], "doc_id bigint, text string")
     asked = spark.createDataFrame([("a", "what is the hill"), ("b", "zzz")], "qid string, query string")
