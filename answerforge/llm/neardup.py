@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 from answerforge.llm.pairs import attach_both
 from answerforge.llm.words import batch_hashes, chunks, mix, shingle_sets
 from answerforge.operators.components import connected_components
-from answerforge.session import join_hot_cold, materialize
+from answerforge.session import join_counted, materialize
 
 POSITIONS, DEPTH, MAX_DEPTH, SMALL, BRANCH = 64, 2, 6, 128, 2
 #: Of CHECKS sampled values, kept in a byte each, a pair must agree in AGREE to become a candidate.
 CHECKS, AGREE = 8, 2
-FILTER_BITS = 23
+FILTER_BITS, FILTER_PART = 23, 1024
 PATHS = "path bigint, a bigint, x bigint, kind tinyint"
 MEMBER, CROWDED, PAIR, GOING = 0, 1, 2, 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -257,19 +257,37 @@ def _key_cells(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit table of 2^FILTER_BITS cells (1 MB packed) telling which keys may be among `keys`. Its size is
-    fixed: with very many keys it lets more pass, never fewer."""
+def _set_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        bits[_key_cells(batch.column(0).to_numpy())] = True
+    packed = np.packbits(bits).reshape(-1, FILTER_PART)
+    yield _parts({int(i): packed[i] for i in np.flatnonzero(packed.any(1))})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_key_cells(batch.column(0).to_numpy())))], names=["cell"])
 
-    cells = keys.mapInArrow(run, "cell bigint").distinct().toPandas()["cell"].to_numpy(np.int64)
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[cells] = True
-    return np.packbits(bits)
+def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(part, np.uint8)
+            held[i] = held[i] | part if i in held else part
+    yield _parts(held)
+
+
+def _parts(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "bits"])
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit table of 2^FILTER_BITS cells (1 MB packed) telling which keys may be among `keys`. Its size is
+    fixed: with very many keys it lets more pass, never fewer. The tasks set and merge the bits; the driver
+    gets each part of FILTER_PART bytes once, so 1 MB at most."""
+    kind = "part int, bits binary"
+    merged = keys.mapInArrow(_set_cells, kind).repartition("part").mapInArrow(_merge_parts, kind)
+    packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for part, bits in merged.collect():
+        packed[part * FILTER_PART : (part + 1) * FILTER_PART] = np.frombuffer(bits, np.uint8)
+    return packed
 
 
 def _passing(packed: np.ndarray):
@@ -396,7 +414,7 @@ def near_duplicate_groups(texts: DataFrame, key: str, text: str, k: int = 5, thr
     total = sketches.count()
     # Equal sets: the least key stands for all.
     copies = materialize(sketches.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
-    followers = materialize(join_hot_cold(sketches.select("key", "h1", "h2"), copies, ["h1", "h2"], "n", total).where("key <> rep").select("key", "rep", "n"), "followers")
+    followers = materialize(join_counted(sketches.select("key", "h1", "h2"), copies, ["h1", "h2"], "n", total).where("key <> rep").select("key", "rep", "n"), "followers")
     reps = sketches.join(followers, "key", "left_anti")
     part = 1 - (1 - recall) / 2
     pairs, rest = candidate_pairs(reps, runs_for(part, threshold), runs_for(part, threshold, MAX_DEPTH), small)
@@ -409,6 +427,6 @@ def near_duplicate_groups(texts: DataFrame, key: str, text: str, k: int = 5, thr
             roots = materialize(connected_components(links, "a", "b"), "roots")
     # Copies take the root of their representative; counts of followers tell hot representatives.
     led = followers.groupBy("rep").agg(F.count("*").alias("n")).join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    led = led.withColumn("root", F.coalesce("root", "rep"))
-    tail = join_hot_cold(followers.select("key", "rep"), led, ["rep"], "n", total)
+    led = materialize(led.withColumn("root", F.coalesce("root", "rep")), "led")
+    tail = join_counted(followers.select("key", "rep"), led, ["rep"], "n", total)
     return roots.select(F.col("root").alias("key_a"), F.col("node").alias("key_b")).unionByName(tail.select(F.col("root").alias("key_a"), F.col("key").alias("key_b"))).distinct()

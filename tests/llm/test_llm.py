@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerforge.llm import crosssplit, leaks, level, markup, mixing, neardup, pairs, topn, tree, words
+from answerforge.operators.components import connected_components
 
 RNG = random.Random(11)
 VOCABULARY = [f"w{i}" for i in range(400)] + ["Ünïté", "straße", "x_y", "the"]
@@ -179,6 +181,45 @@ def test_runs_reach_the_recall():
     assert neardup.runs_for(0.99, 0.95) <= 2
 
 
+def broadcasts_of_plans(spark, act):
+    """What act returns, and the broadcasts in each plan that it ran."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        bus.waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {e.executionId(): e.physicalPlanDescription() for e in (found.apply(i) for i in range(found.size()))}
+
+    before = plans()
+    got = act()
+    return got, [len(re.findall(r"^[^(\n]*BroadcastExchange", p.split("\n\n")[0], re.M)) for i, p in plans().items() if i not in before]
+
+
+def test_near_duplicates_make_small_plans(spark):
+    """The driver holds each plan as it runs; a round of the components used to be one plan of 56 broadcasts, as first planned."""
+    rng = random.Random(6)
+    base = [text(60, rng) for _ in range(40)]
+    texts = [(100 * i + j, edited(t, j % 4, rng)) for i, t in enumerate(base) for j in range(6)]
+    df = spark.createDataFrame(texts, "key bigint, text string")
+    got, plans = broadcasts_of_plans(spark, lambda: {tuple(r) for r in neardup.near_duplicate_groups(df, "key", "text", 3, 0.5, 20).collect()})
+    assert got == groups_by_force(texts, 3, 0.5, 20)
+    assert len(plans) > 10 and max(plans) <= 6
+    edges = spark.createDataFrame(sorted((a, b) for a, b in got), "a bigint, b bigint")
+    by_stars, plans = broadcasts_of_plans(spark, lambda: {(a, b) for b, a in connected_components(edges, "a", "b", local=0).collect()})
+    assert by_stars == got
+    assert len(plans) > 5 and max(plans) <= 6
+
+
+def test_key_filter_comes_to_the_driver_in_parts(spark, monkeypatch):
+    keys = np.arange(0, 3_000_000, 7, dtype=np.int64)
+    bits = np.zeros(1 << neardup.FILTER_BITS, bool)
+    bits[neardup._key_cells(keys)] = True
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", None)  # a row for each of 400,000 cells went to the driver
+    packed = neardup.key_filter(spark.range(0, 3_000_000, 7))
+    assert (packed == np.packbits(bits)).all()
+    assert not neardup.key_filter(spark.range(0)).any()
+
+
 # --- 4: overlaps across splits -------------------------------------------------------------------------
 
 

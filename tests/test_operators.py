@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from answerforge import session
 from answerforge.operators import evaluate, logical_form, passages, ranking, reading, sparse, vectors, windows
 from answerforge.operators.components import connected_components
 from answerforge.plans import load_queries
@@ -41,6 +42,19 @@ def test_components_of_a_long_path_and_of_nothing(spark):
     assert rows(connected_components(path.where("a < 0"), "a", "b")) == []
 
 
+@pytest.mark.parametrize("cold", [10, 4096])  # with 10, hot keys are joined by broadcast
+def test_components_by_stars_equal_those_of_one_task(spark, monkeypatch, cold):
+    monkeypatch.setattr(session, "COLD_ROWS", cold)
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(5, 5), (7, 8), (7, 8), (None, 3)] + [(1000, 1000 + i) for i in range(1, 400)]
+    edges += [(3000 - i, 2999 - i) for i in range(50)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    alone = rows(connected_components(df, "a", "b"))
+    assert len(alone) > 500 and rows(connected_components(df, "a", "b", local=0)) == alone
+    names = df.where("a is not null").select(F.format_string("%06d", "a").alias("a"), F.format_string("%06d", "b").alias("b"))
+    assert rows(connected_components(names, "a", "b")) == [(f"{a:06d}", f"{b:06d}") for a, b in alone]
+
+
 def test_bm25_against_loops(spark):
     docs = [(1, "a b b c"), (2, "b c"), (3, "x y"), (4, None), (5, ""), (6, "b c")]
     queries = [("q1", "b x"), ("q2", "zzz"), ("q3", None), ("q4", "b b")]
